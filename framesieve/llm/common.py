@@ -54,6 +54,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_slices(sizes, limit: int):
     """Yield (start, stop) row ranges of at most ``limit`` units each, one row at least."""
+    sizes = list(sizes)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > limit:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm import pii
+from framesieve.llm import bpe, pii, tokcount
 from framesieve.llm.common import table
 
 
@@ -23,8 +23,22 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return both.select(
+        "doc_id",
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        _sha(F.array_join(F.col("token_ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        _sha("decoded").alias("decoded_sha256"),
+    )
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokcount.token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_pii": op1_pii}
+    return {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op5_token_counts": op5_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
