@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm import bpe, pii, tokcount
+from framesieve.llm import bpe, pii, simhash, substring, tokcount
 from framesieve.llm.common import table
 
 
@@ -33,12 +33,28 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", _sha("kept").alias("kept_sha256"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokcount.token_counts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op5_token_counts": op5_token_counts}
+    return {
+        "op1_pii": op1_pii,
+        "op2_bpe": op2_bpe,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_simhash": op4_simhash,
+        "op5_token_counts": op5_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
