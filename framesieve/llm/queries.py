@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm import bpe, pii, simhash, substring, tokcount
+from framesieve.llm import bpe, license, media, pii, simhash, substring, tokcount
 from framesieve.llm.common import table
 
 
@@ -47,6 +47,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokcount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_pii": op1_pii,
@@ -54,6 +62,8 @@ def queries() -> dict:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_simhash": op4_simhash,
         "op5_token_counts": op5_token_counts,
+        "op6_license": op6_license,
+        "op7_media": op7_media,
     }
 
 
