@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm import bpe, license, media, pii, simhash, substring, tokcount
+from framesieve.llm import bpe, decontam, langid, license, media, pii, simhash, substring, tokcount
 from framesieve.llm.common import table
 
 
@@ -55,6 +55,17 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # Only what a prediction may see goes in, beside the id that it is reported under.
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("row.doc_id", (langid.fold(F.col("row.doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
     return {
         "op1_pii": op1_pii,
@@ -64,6 +75,8 @@ def queries() -> dict:
         "op5_token_counts": op5_token_counts,
         "op6_license": op6_license,
         "op7_media": op7_media,
+        "op9_decontamination": op9_decontamination,
+        "op10_language": op10_language,
     }
 
 
