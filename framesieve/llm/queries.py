@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm import bpe, decontam, langid, license, media, pii, simhash, substring, tokcount
+from framesieve.llm import bpe, decontam, langid, license, lm, media, pii, simhash, substring, tokcount
 from framesieve.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,6 +79,7 @@ def queries() -> dict:
         "op5_token_counts": op5_token_counts,
         "op6_license": op6_license,
         "op7_media": op7_media,
+        "op8_lm_score": op8_lm_score,
         "op9_decontamination": op9_decontamination,
         "op10_language": op10_language,
     }
