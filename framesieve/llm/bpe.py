@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from framesieve.llm.common import ship, text_slices
 from framesieve.llm.vocabulary import Vocabulary, packed, unpacked
 
-SLICE = 4_000_000
-KNOWN = 500_000
+SLICE = 1_000_000
+KNOWN = 200_000
 _NEVER = 1 << 60
 
 _encoders: dict[int, TrieEncoder] = {}
@@ -126,9 +126,9 @@ class TrieEncoder:
     def encode(self, words: list[bytes]) -> Iterator[bytes]:
         """Ids (int32, packed) of each of the sorted, distinct words."""
         move, far, ends, follows, apart = self.move, self.far, self.ends, self.follows, self._apart
-        if len(follows) > 4 * KNOWN:
+        if len(follows) > 2 * KNOWN:
             follows.clear()
-        if len(far) > 2 * KNOWN:
+        if len(far) > KNOWN:
             far.clear()
         last: list[int] = [-1]  # last token of the prefix of each length
         size: list[int] = [0]
