@@ -72,7 +72,7 @@ def s24(x: Column) -> Column:
     one = lambda v: F.lit(float(v)).cast("float")
     up = F.round(F.least(x, one(1)) * one(S24_MAX))
     down = F.round(F.greatest(x, one(-1)) * one(S24_MIN_SIZE))
-    return F.when(F.isnan(x), F.lit(0)).when(x >= one(0), up.cast("int")).otherwise(down.cast("int"))
+    return F.when(x.isNull(), F.lit(None).cast("int")).when(F.isnan(x), F.lit(0)).when(x >= one(0), up.cast("int")).otherwise(down.cast("int"))
 
 
 def s24_hex(q: Column) -> Column:
