@@ -85,5 +85,18 @@ def queries() -> dict:
     }
 
 
+#: SQL for the operators that it can express whole; the others are tested against brute force in tests/llm.
+_OP3 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+first AS (SELECT k, min(doc_id) AS m FROM windows GROUP BY k),
+hits AS (SELECT windows.doc_id, i FROM windows JOIN first USING (k) WHERE m < windows.doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM hits, range(0, 50) r(j)),
+words AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+sums AS (SELECT words.doc_id, count(gone.p) AS n_removed, string_agg(t, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS kept FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring_dedup": _OP3}
