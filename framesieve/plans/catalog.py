@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from framesieve.functions import scalar as S
 from framesieve.operators import memory, samples, settings, streams
+from framesieve.sources import publish, scans
+from framesieve.streaming import replay as stateful
 
 # Geometry of the replayed rings, small enough to wrap.
 CHUNK, CHUNKS, SLOTS, SLOT_FRAMES = 8, 4, 5, 8
@@ -373,6 +375,49 @@ def outcome_json_defaults(spark, d):
     return rows.select("event_id", "x.kind", *(F.coalesce(F.col(f"x.{c}"), S.long(0)).alias(c) for c in ("lost_frames", "retention_lost_frames", "cleared_frames")))
 
 
+@query("replay_stateful", f"WITH {_REPLAY} SELECT session, seq, op, kind, start_frame, end_frame, frames, retention_lost, cleared_lost, dropped_lost FROM outcomes")
+def replay_stateful(spark, d):
+    """The streaming coordinator's step function, folded over the same logs."""
+    return stateful.replay_fold(event_log(spark, d), CHUNK, CHUNKS, SLOTS, SLOT_FRAMES)
+
+
+@query("replay_failures")
+def replay_failures(spark, d):
+    """Every seventh dump fails once; its range is kept and published by the next persist."""
+    log = event_log(spark, d).withColumn("fails", (F.col("op") == "dump") & (F.col("seq") % 7 == 0))
+    return stateful.replay_fold(log, CHUNK, CHUNKS, SLOTS, SLOT_FRAMES)
+
+
+# --- whole files and raw buffers ------------------------------------------------------------------
+
+
+@query("wav_files", f"""WITH {_LONG}, q AS (SELECT channel, CAST(frame // 4000 + 1 AS INTEGER) AS part, frame, {_Q.format(x='sample')} AS q FROM longform),
+b AS (SELECT channel, part, count(*) AS frames, 3 * count(*) AS n, string_agg(printf('%02X%02X%02X', q & 255, (q >> 8) & 255, (q >> 16) & 255), '' ORDER BY frame) AS body FROM q GROUP BY 1, 2)
+SELECT channel, part, frames, printf('ch%02d-part%03d.wav', channel + 1, part) AS name, 44 + n AS size, md5(unhex(concat(hex('RIFF'), printf('%02X%02X%02X%02X', (n+36) & 255, ((n+36)>>8) & 255, ((n+36)>>16) & 255, ((n+36)>>24) & 255), hex('WAVE'), hex('fmt '), '10000000', '0100', '0100', '80BB0000', '80320200', '0300', '1800', hex('data'),
+ printf('%02X%02X%02X%02X', n & 255, (n>>8) & 255, (n>>16) & 255, (n>>24) & 255), body))) AS digest FROM b""")
+def wav_files(spark, d):
+    """The files themselves: header and PCM body of every channel and part."""
+    name = S.simple_name(S.channel_name(F.lit(None).cast("string"), F.col("channel")), F.col("part"), F.lit(2))
+    files = publish.wav_parts(_long_form(spark, d), S.long(0), 4000, RATE, name)
+    return files.select("channel", "part", "frames", "name", F.length("content").cast("bigint").alias("size"), F.md5("content").alias("digest"))
+
+
+@query("raw_buffer_scan", "SELECT event_id AS id, CASE WHEN event_id % 10 > 0 THEN event_id % 8 + 1 END AS n, CASE WHEN event_id % 10 > 0 THEN CAST(event_id % 8 + 1 AS DOUBLE) END AS total, CASE WHEN event_id % 10 = 0 THEN 'stride must be 4 bytes a channel' END AS error FROM events")
+def raw_buffer_scan(spark, d):
+    """Buffers of 1.0 samples behind 4 bytes of something else; every tenth has a wrong stride."""
+    n = (F.col("event_id") % 8 + 1).cast("int")
+    rows = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.unhex(F.concat(F.lit("FFFFFFFF"), F.repeat(F.lit("0000803F"), n))).alias("data"), F.lit(4).alias("offset"), (n * 4).alias("size"), F.when(F.col("event_id") % 10 == 0, 8).otherwise(4).alias("stride"), F.lit(1).alias("channels"))
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    return scans.raw_buffers(rows).select("id", F.when(F.col("error").isNull(), F.size("samples").cast("bigint")).alias("n"), F.when(F.col("error").isNull(), total).alias("total"), "error")
+
+
+@query("signal_frames")
+def signal_frames(spark, d):
+    """The deterministic stereo test signal, one frame an event."""
+    n = _t(spark, d, "events").count()
+    return scans.test_signal(spark, n, 2).select("frame", F.col("samples")[0].cast("double").alias("left_sample"), F.col("samples")[1].cast("double").alias("right_sample"))
+
+
 # --- memory plan -------------------------------------------------------------------------------
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from framesieve.functions.scalar import HEADER, div, header_hex, long, s24
+from framesieve.shipping import ship
 
 VERSION = 1
 MANIFEST = "manifest.json"
@@ -47,6 +48,7 @@ def wav_parts(samples: DataFrame, start: Column, per_part: int, rate: int, name:
     Shuffles by channel and part only; a group is one file, so its size is
     bounded by the split threshold.
     """
+    ship(samples.sparkSession)
     rows = samples.select(by, (div(F.col("frame") - start, per_part) + long(1)).cast("int").alias("part"), "frame", s24(F.col("sample")).alias("q"))
 
     def body(table: pa.Table) -> pa.Table:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framesieve.shipping import ship
+
 
 def raw_buffer_error(data: str = "data", offset: str = "offset", size: str = "size", stride: str = "stride", channels: str = "channels") -> Column:
     """First broken rule of a raw buffer row, else null."""
@@ -36,6 +38,7 @@ def raw_buffers(rows: DataFrame, data: str = "data", offset: str = "offset", siz
 
     The range is cut in the JVM; only valid bytes go through Arrow.
     """
+    ship(rows.sparkSession)
     checked = rows.withColumn("error", raw_buffer_error(data, offset, size))
     cut = F.when(F.col("error").isNull(), F.substring(F.col(data), F.col(offset).cast("int") + 1, F.col(size).cast("int")))
     return checked.withColumn("samples", _floats(cut))
@@ -68,6 +71,8 @@ _WAV = "path string, channels int, sample_rate int, bits int, data_bytes long, s
 def wav_files(spark: SparkSession, folder: str) -> DataFrame:
     """Mono or stereo 24-bit WAV files of a folder: header fields and integer samples."""
 
+    ship(spark)
+
     def decode(batches):
         for pdf in batches:
             out = []

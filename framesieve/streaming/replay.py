@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framesieve.shipping import ship
+
 OUTCOME = "session long, seq long, op string, kind string, start_frame long, end_frame long, frames long, retention_lost long, cleared_lost long, dropped_lost long"
 STATE = "head long, dropped long, base long, mark long, cursor long, heard long, pend_retention long, pend_cleared long, acked long, frozen_start long, frozen_end long, frozen_silent long"
 
@@ -101,6 +103,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def replay_stream(log: DataFrame, chunk: int, chunks: int, slots: int, slot_frames: int) -> DataFrame:
     """Outcomes of a streaming log (session, seq, op, n_frames, sound[, fails]); rows of a session arrive in order of seq, in any split."""
+    ship(log.sparkSession)
     geometry = (chunk, chunks, slots, slot_frames)
 
     def run(key, batches, state: GroupState):
@@ -115,6 +118,7 @@ def replay_stream(log: DataFrame, chunk: int, chunks: int, slots: int, slot_fram
 
 def replay_fold(log: DataFrame, chunk: int, chunks: int, slots: int, slot_frames: int) -> DataFrame:
     """The same as a batch, for logs with failed publications (column ``fails``)."""
+    ship(log.sparkSession)
     geometry = (chunk, chunks, slots, slot_frames)
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
