@@ -50,6 +50,12 @@ def enqueued(n, slots, slot_frames, queued=0) -> Column:
     return F.least(long(n), F.greatest(long(slots) - long(queued), long(0)) * long(slot_frames))
 
 
+def accepted_before_pin(n, head, pinned_chunk, chunk, chunks) -> Column:
+    """Frames of a push until it would overwrite the oldest pinned chunk (null: none); the rest of the push is dropped."""
+    room = (long(pinned_chunk) + long(chunks)) * long(chunk) - long(head)
+    return F.least(long(n), F.greatest(long(0), F.coalesce(room, long(n))))
+
+
 def seconds(frames: Column, rate) -> Column:
     return frames / F.lit(rate) if not isinstance(rate, Column) else frames / rate
 

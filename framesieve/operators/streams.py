@@ -100,6 +100,11 @@ def since_cursor(heads: DataFrame, chunk: int, chunks: int) -> DataFrame:
     return heads.withColumn("oldest", oldest).withColumn("requested", requested).withColumn("start_frame", start).withColumn("end_frame", F.col("head")).withColumn("lost", start - requested)
 
 
+def once(reports: DataFrame, *key: str) -> DataFrame:
+    """Results that were handed out again after a timeout, once each: the key is the operation's identity."""
+    return reports.dropDuplicates(list(key))
+
+
 def replay(log: DataFrame, chunk: int, chunks: int, slots: int, slot_frames: int, session: str = "session", seq: str = "seq") -> DataFrame:
     """Outcomes of the commands of failure-free logs, by windows alone.
 

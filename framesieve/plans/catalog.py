@@ -128,6 +128,22 @@ def ingress_unconsumed(spark, d):
     return rest.groupBy("session").agg(F.count("*").alias("pushes"), F.sum(S.enqueued(F.col("n_frames"), SLOTS, SLOT_FRAMES)).alias("frames"))
 
 
+@query("pinned_overrun", f"WITH {_PUSHES}, h AS (SELECT session, seq, n_frames, start_frame AS head, CASE WHEN seq % 3 > 0 THEN greatest(0, start_frame // 8 - seq % 4) END AS pin FROM pushes) SELECT session, seq, CASE WHEN pin IS NULL THEN n_frames ELSE least(n_frames, greatest(0, (pin + 4) * 8 - head)) END AS accepted, n_frames - CASE WHEN pin IS NULL THEN n_frames ELSE least(n_frames, greatest(0, (pin + 4) * 8 - head)) END AS overrun FROM h")
+def pinned_overrun(spark, d):
+    """Pushes against a ring in which a reader pins one of the newest chunks."""
+    p = _pushes(spark, d).withColumn("head", F.col("start_frame"))
+    pin = F.when(F.col("seq") % 3 > 0, F.greatest(S.long(0), S.div(F.col("head"), CHUNK) - F.col("seq") % 4))
+    took = S.accepted_before_pin(F.col("n_frames"), F.col("head"), pin, CHUNK, CHUNKS)
+    return p.select("session", "seq", took.alias("accepted"), (F.col("n_frames") - took).alias("overrun"))
+
+
+@query("clear_once", f"WITH {_REPLAY} SELECT session, seq AS clear_id, own_retention, own_cleared FROM outcomes WHERE op = 'clear'")
+def clear_once(spark, d):
+    """Clear reports delivered twice, taken once by their session and number."""
+    reports = _outcomes(spark, d).where("op = 'clear'").select("session", F.col("seq").alias("clear_id"), "own_retention", "own_cleared")
+    return streams.once(reports.union(reports.where("clear_id % 2 = 0")), "session", "clear_id")
+
+
 @query("chunk_layout", f"WITH {_PUSHES}, f AS (SELECT session, unnest(range(start_frame, end_frame)) AS frame FROM pushes WHERE enqueued > 0) SELECT session, frame // 8 AS chunk, min(frame) AS chunk_start, count(*) AS valid FROM f GROUP BY 1, 2")
 def chunk_layout(spark, d):
     return streams.chunks_of(_pushes(spark, d), CHUNK)

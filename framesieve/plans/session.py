@@ -80,6 +80,8 @@ class Session:
             raise ValueError("split threshold must leave room for WAV data")
         self.folder.mkdir(parents=True, exist_ok=True)
         self.state, self.coordinator, self.lane = "capturing", Coordinator(), OperationLane()
+        self.cleared: dict[str, dict] = {}
+        self.snapshots = threading.BoundedSemaphore(1)
         publish.recover(self._staging())
 
     def _staging(self) -> Path:
@@ -109,12 +111,44 @@ class Session:
     def dump(self, label: str) -> dict:
         return self.lane.submit(self._persist, "dump", label).result()
 
-    def clear(self) -> dict:
-        return self.lane.submit(self._clear).result()
+    def clear(self, clear_id: str | None = None) -> dict:
+        """A clear of a known id isn't run again: its first report is the answer."""
+        return self.lane.submit(self._clear, clear_id).result()
 
-    def _clear(self) -> dict:
+    def _clear(self, clear_id: str | None) -> dict:
+        if clear_id in self.cleared:
+            return self.cleared.pop(clear_id)
         self.coordinator.step("clear", 0, False, False, self.geometry)
-        return {"kind": "cleared"}
+        report = {"kind": "cleared"}
+        if clear_id is not None:
+            self.cleared = {clear_id: report}
+        return report
+
+    def snapshot(self, start: int, end: int):
+        """Frames (frame, channel, sample) of a retained range, as a DataFrame; one snapshot at a time (``release``)."""
+        chunk, chunks, *_ = self.geometry
+        oldest = self.coordinator.oldest(chunk, chunks)
+        if start > end or start < oldest or end > self.coordinator.head:
+            raise ValueError(f"range {start}..{end} is not retained ({oldest}..{self.coordinator.head})")
+        if not self.snapshots.acquire(blocking=False):
+            raise Busy("export already active")
+        return self._frames(start, end)
+
+    def release(self) -> None:
+        self.snapshots.release()
+
+    def reset(self) -> None:
+        """Forget everything; refused while a snapshot or a failed range is held."""
+        if self.coordinator.frozen_start >= 0 or not self.snapshots.acquire(blocking=False):
+            raise Busy("the session is in use")
+        self.snapshots.release()
+        for block in self.folder.glob("block-*.parquet"):
+            block.unlink()
+        self.coordinator, self.cleared = Coordinator(), {}
+
+    def _frames(self, start: int, end: int):
+        blocks = self.spark.read.parquet(str(self.folder / "block-*.parquet")).where((F.col("start_frame") < end) & (F.col("start_frame") + F.col("n_frames") > start))
+        return deinterleave(blocks, "start_frame", F.col("start_frame"), self.channels).where((F.col("frame") >= start) & (F.col("frame") < end))
 
     def _persist(self, op: str, label: str) -> dict:
         c, files = self.coordinator, []
@@ -135,8 +169,7 @@ class Session:
     def _write(self, op: str, label: str, start: int, end: int) -> list[str]:
         # The lane's thread has no active session of its own, and the sink is looked up there.
         self.spark._get_j_spark_session_class(self.spark._jvm).setActiveSession(self.spark._jsparkSession)
-        blocks = self.spark.read.parquet(str(self.folder / "block-*.parquet")).where((F.col("start_frame") < end) & (F.col("start_frame") + F.col("n_frames") > start))
-        rows = deinterleave(blocks, "start_frame", F.col("start_frame"), self.channels).where((F.col("frame") >= start) & (F.col("frame") < end))
+        rows = self._frames(start, end)
         named = channel_name(F.get(F.array(*(F.lit(n).cast("string") for n in self.names)), F.col("channel")), F.col("channel"))
         base = simple_name(named, F.col("part"), part_count(long(end - start), long(self.per_part)))
         name = base if op == "dump" else F.concat(F.lit(f"{label}-{start:09d}-{end:09d}-"), base)

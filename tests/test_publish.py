@@ -106,6 +106,21 @@ def test_session(spark, tmp_path):
     assert s.dump("d3")["frames"] == 2
     assert json.loads(respond(s, '{"command": "status"}'))["status"]["head"] == 16
     assert s.clear() == {"kind": "cleared"}
+    s.push(np.ones(4))
+    assert s.snapshot(16, 18).count() == 4
+    with pytest.raises(Busy):
+        s.snapshot(16, 17)
+    with pytest.raises(Busy):
+        s.reset()
+    s.release()
+    with pytest.raises(ValueError):
+        s.snapshot(3, 18)
+    s.clear("c1")
+    s.push(np.ones(4))
+    s.clear("c1")  # a repeat: nothing more is cleared
+    assert s.recall()["cleared_frames"] == 2
+    s.reset()
+    assert s.status()["head"] == 0
     s.stop()
     with pytest.raises(Busy):
         s.recall()
