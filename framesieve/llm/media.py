@@ -204,7 +204,9 @@ def read_back(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     every = media.select("digest", "media").mapInArrow(run, schema)
-    return every.groupBy("digest").agg(*(F.first(c).alias(c) for c in every.columns[1:]))
+    # Grouped by more than the digest, so that a later join deals by digest anew and may split hot ones.
+    once = every.groupBy("digest", F.xxhash64("digest").alias("_fs_h")).agg(*(F.first(c).alias(c) for c in every.columns[1:]))
+    return once.drop("_fs_h")
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
