@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framesieve.operators import streams
 from framesieve.streaming import replay as R
+from framesieve.streaming import sinks
 
 CASES = [
     (8, [("push", 2), ("recall", 0), ("push", 2), ("dump", 0), ("recall", 0)], [("written", 0, 2, 0, 0, 0), ("written", 2, 4, 0, 0, 0), ("no_new_audio", None, None, 0, 0, 0)]),
@@ -74,5 +75,8 @@ def test_stream_equals_batch(spark, tmp_path):
     want = streams.replay(spark.createDataFrame(rows, schema), 8, 4, 5, 8).select(*got.columns)
     key = lambda df: sorted(map(str, df.collect()))
     assert key(got) == key(want) and got.count() > 50
+    again = sinks.write_outcomes(R.replay_stream(log, 8, 4, 5, 8), str(tmp_path / "out"), str(tmp_path / "c2"), availableNow=True)
+    again.awaitTermination()
+    assert key(sinks.read_outcomes(spark, str(tmp_path / "out")).select(*got.columns)) == key(want)
     folded = R.replay_fold(spark.createDataFrame(rows, schema).withColumn("fails", F.lit(False)), 8, 4, 5, 8)
     assert key(folded.select(*got.columns)) == key(want)
