@@ -24,7 +24,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    both = bpe.encode(table(spark, sf_dir, "documents"), decoded="decoded")
     return both.select(
         "doc_id",
         F.size("token_ids").cast("bigint").alias("n_tokens"),
