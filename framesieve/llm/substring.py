@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from framesieve.llm.common import ship, shuffle_partitions
 
 WINDOW = 50
-FLUSH = 2_000_000
+FLUSH = 1_200_000
 WORDS = 400_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -60,21 +60,34 @@ def _from_planes(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(n, -1).T).reshape(-1).view(kind)
 
 
+_zip = pa.Codec("zstd")
+
+
+def _tight(x: np.ndarray) -> bytes:
+    """Byte planes, compressed, behind their count of bytes."""
+    b = _planes(x)
+    return len(b).to_bytes(4, "little") + _zip.compress(b, asbytes=True)
+
+
+def _from_tight(b: bytes, kind) -> np.ndarray:
+    return _from_planes(_zip.decompress(b[4:], int.from_bytes(b[:4], "little"), asbytes=True), kind)
+
+
 def _pack(docs: np.ndarray, signs: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
     """Document runs, their signs (which tell rows of one doc_id apart), run lengths, and positions as gaps within a run."""
     first = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (signs[1:] != signs[:-1]))))
     runs = np.diff(np.append(first, len(docs))).astype(np.int32)
     gaps = np.diff(at, prepend=0).astype(np.int32)
     gaps[first] = at[first]
-    return _planes(docs[first]), _planes(signs[first]), _planes(runs), _planes(gaps)
+    return _tight(docs[first]), _tight(signs[first]), _tight(runs), _tight(gaps)
 
 
 def _unpack(docs: bytes, signs: bytes, runs: bytes, gaps: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, n, g = _from_planes(docs, np.int64), _from_planes(runs, np.int32), _from_planes(gaps, np.int32).astype(np.int64)
+    ids, n, g = _from_tight(docs, np.int64), _from_tight(runs, np.int32), _from_tight(gaps, np.int32).astype(np.int64)
     total = np.cumsum(g)
     first = np.cumsum(n) - n
     before = total[first] - g[first]
-    return np.repeat(ids, n), np.repeat(_from_planes(signs, np.uint32), n), total - np.repeat(before, n)
+    return np.repeat(ids, n), np.repeat(_from_tight(signs, np.uint32), n), total - np.repeat(before, n)
 
 
 def prime_from(n: int) -> int:
@@ -136,7 +149,7 @@ def _answers(docs: np.ndarray, signs: np.ndarray, at: np.ndarray, counts: np.nda
     part, docs, signs, at, counts = part[order], docs[order], signs[order], at[order], counts[order].astype(np.int32)
     edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
     for a, b in zip(edge[:-1], edge[1:], strict=True):
-        yield int(part[a]), True, *_pack(docs[a:b], signs[a:b], at[a:b]), _planes(counts[a:b])
+        yield int(part[a]), True, *_pack(docs[a:b], signs[a:b], at[a:b]), _tight(counts[a:b])
 
 
 _COLUMNS = ["part", "settled", "docs", "signs", "runs", "at", "more"]
@@ -212,7 +225,7 @@ def _cut(window: int, id_col: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         for row in right.to_pylist():
-            found.append((*_unpack(row["docs"], row["signs"], row["runs"], row["at"]), _from_planes(row["more"], np.int32)))
+            found.append((*_unpack(row["docs"], row["signs"], row["runs"], row["at"]), _from_tight(row["more"], np.int32)))
         d, g, a, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
         order = np.argsort(d, kind="stable")
         d, g, a, n = d[order], g[order], a[order], n[order]
