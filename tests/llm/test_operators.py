@@ -96,6 +96,8 @@ def test_bpe(spark, texts, library):
         want = library.encode(t, add_special_tokens=False).ids
         assert rows[i].token_ids == want and rows[i].decoded == library.decode(want, skip_special_tokens=False) == t
     assert rows[-1].token_ids == [] and rows[-1].decoded == ""
+    once = bpe.encode(df.drop("token_ids"), decoded="decoded")
+    assert {r.doc_id: (r.token_ids, r.decoded) for r in once.collect()} == {i: (r.token_ids, r.decoded) for i, r in rows.items()}
 
 
 def test_token_counts(spark, texts, library):
@@ -139,7 +141,7 @@ def cut(rows, w):
     return sorted(out)
 
 
-@pytest.mark.parametrize("flush", [2_000_000, 60])
+@pytest.mark.parametrize("flush", [1_200_000, 60])
 def test_substrings(spark, docs, monkeypatch, flush):
     monkeypatch.setattr(substring, "FLUSH", flush)
     tiny = [(1, "a b c d e f"), (2, "x a b c y b c d"), (2, "a b c"), (-3, None), (4, ""), (5, "a a a a a a"), (6, "a a a a b c d"), (7, "d e f g"), (8, "a\x1cb c d\te\nf"), (9, "a\x1cb c d e f")]
