@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framesieve.llm.common import checkpointed, ship, shuffle_partitions
-from framesieve.llm.substring import WordHashes, _from_planes, _planes
+from framesieve.llm.substring import WordHashes, _from_planes, _from_tight, _planes, _tight
 
 FOLDS = 10
 TUNING = 1
@@ -113,6 +113,7 @@ class Tokens:
 
 def _requests(bits: int):
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    low = np.uint64((1 << 64 - bits) - 1)
 
     def run(batches):
         known = WordHashes()
@@ -122,10 +123,10 @@ def _requests(bits: int):
                 rows = []
                 for kind, (keys, inverse) in enumerate(t.kinds):
                     counts = np.bincount(inverse, t.trained, len(keys)).astype(np.uint32)
-                    rest = keys if kind == _WORD else keys >> np.uint64(max(0, 16 - bits))
-                    packed = rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 7 - kind]
+                    # A bucket's keys are sorted: their gaps need fewer bits than they do.
+                    rest = (keys & low) >> np.uint64(max(0, 16 - bits) if kind == _PAIR else 0)
                     cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                    rows += [(b, chunk, kind, packed[lo:hi].tobytes(), _planes(counts[lo:hi])) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+                    rows += [(b, chunk, kind, _tight(np.diff(rest[lo:hi], prepend=np.uint64(0))), _tight(counts[lo:hi])) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
                 names, types = ("bucket", "chunk", "kind", "keys", "counts"), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
@@ -143,12 +144,8 @@ def _totals(table: pa.Table) -> pa.Table:
         rows = [r for r in table.to_pylist() if r["kind"] == kind]
         if not rows:
             continue
-        width, keys = 7 - kind, []
-        for r in rows:
-            k = np.zeros((len(r["keys"]) // width, 8), np.uint8)
-            k[:, :width] = np.frombuffer(r["keys"], np.uint8).reshape(-1, width)
-            keys.append(k.reshape(-1).view("<u8"))
-        counts = np.concatenate([_from_planes(r["counts"], np.uint32) for r in rows])
+        keys = [np.cumsum(_from_tight(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
+        counts = np.concatenate([_from_tight(r["counts"], np.uint32) for r in rows])
         found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, counts, len(found)).astype(np.int64)
         if kind == _WORD:
