@@ -5,7 +5,7 @@ import zlib
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framesieve.llm import simhash
+from framesieve.llm import nearcopies, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +58,35 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_near_copies_by_brute_force(spark):
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    first = docs.orderBy("doc_id").limit(1).first()
+    words = first.text.split()
+    more = [(first.doc_id, "one doc_id with another text stays"), (None, first.text), (900001, first.text), (900002, " ".join([*words[:-3], "changed", *words[-2:]])), (900003, None), (900004, "")]
+    docs = docs.union(spark.createDataFrame(more, docs.schema))
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None and shingles(r.text)), key=lambda r: r[0])
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(close) > 4
+    while True:
+        old = list(label)
+        for i, j in close:
+            label[i] = label[j] = min(label[i], label[j])
+        if old == label:
+            break
+    want = [rows[i] for i in sorted(set(label))] + [(None, first.text), (900003, None), (900004, "")]
+    got = [tuple(r) for r in nearcopies.without_copies(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_no_near_copies_in_the_output(spark):
+    """Docs 1 and 177 have 0.83 of their 5-word shingles in common, 6 and 145 too, at 7 and 11 bits."""
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
+    assert not {177, 145} & ids and {1, 6} <= ids
