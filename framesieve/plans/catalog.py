@@ -258,6 +258,13 @@ def channel_samples(spark, d):
     return rows.select("channel", "n", F.md5(F.array_join(F.transform("x", lambda s: s["q"].cast("string")), ",")).alias("digest"))
 
 
+@query("channel_sample_parts", f"WITH {_LONG} SELECT channel, frame // 4096 AS part, count(*) AS n, md5(string_agg(CAST({_Q.format(x='sample')} AS VARCHAR), ',' ORDER BY frame)) AS digest FROM longform GROUP BY 1, 2")
+def channel_sample_parts(spark, d):
+    """Every channel's samples in time order over the whole table, in parts of 4096 frames: what a task gathers is bounded."""
+    rows = _long_form(spark, d).withColumn("part", S.div(F.col("frame"), 4096)).groupBy("channel", "part").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("frame", S.s24(F.col("sample")).alias("q")))).alias("x"))
+    return rows.select("channel", "part", "n", F.md5(F.array_join(F.transform("x", lambda s: s["q"].cast("string")), ",")).alias("digest"))
+
+
 # --- parts, headers, names ----------------------------------------------------------------------
 
 _SPLITS = "(5L, 50L), (16L, 80L), (8L, 47L), (0L, 80L), (79380000L, 390000L), (79380000L, 3900000000L), (1000L, 3044L)"

@@ -62,3 +62,11 @@ def test_command_line(tmp_path, capsys, monkeypatch):
     assert json.loads(capsys.readouterr().out)["config"] == {"startMode": "manual"}
     main(["recover", str(tmp_path)])
     assert json.loads(capsys.readouterr().out)["discovered"] == 0
+
+
+def test_channel_parts_cover_the_whole_table(spark):
+    """32 frames of two channels a vector, none left out, and no part of more than 4096."""
+    got = catalog.queries()["channel_sample_parts"](spark, SF).collect()
+    frames = 32 * spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert frames > 1600 and {c: sum(r.n for r in got if r.channel == c) for c in (0, 1)} == {0: frames, 1: frames}
+    assert max(r.n for r in got) <= 4096
