@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framesieve.shipping import ship
 
-__all__ = ["checkpointed", "ship", "shuffle_partitions", "table", "text_slices"]
+__all__ = ["checkpointed", "planned_bytes", "ship", "shuffle_partitions", "table", "text_slices"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests) a folder of our own is set.
+    Only where the session names none, and executors share the driver's disk (as in
+    tests), a folder of our own is set.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="framesieve-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the table's size, from file sizes; no job runs."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return min(int(size.toString()), 1 << 60)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,6 +7,7 @@ chain, not with a component's size.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,18 @@ def components(links: DataFrame) -> DataFrame:
         if new == seen:
             return now
         seen = new
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest reachable index of each of n nodes, from links a, b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = np.minimum(new, new[new])
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new

@@ -6,18 +6,27 @@ regression, one language against the rest, runs on Nystroem features of
 landmark texts.  Kernel, whitening and weights are linear in the presence
 vector, so a batch is scored by one product: presence x (bins x languages).
 
-Training reads a bounded sample: up to ``PER_LANGUAGE`` labelled documents of
-each language, the first in hash order among those of at most ``TRAIN_CHARS``
-characters.  Prediction reads whole texts, and nothing but texts.
+Training reads a bounded sample (documented parameters): of each of the
+``MAX_LANGUAGES`` most frequent languages up to ``PER_LANGUAGE`` labelled documents, the
+first in hash order of id and text, ``TOTAL_ROWS`` in all; documents of over ``TRAIN_CHARS``
+characters come last and give ten pieces from all over the text.  Landmarks are
+``LANDMARKS`` a language, ``TOTAL_LANDMARKS`` in all.  Prediction reads whole texts, and
+nothing but texts.
+
+``known`` is the share of a text's grams of letters that the sample of the predicted
+language has: how well the text is covered by any learned language, which margins
+and scores, being relative to the other languages, can't say.
 
 Edge cases: null text, or a text without any letter, gives ``und`` with score 0;
-so does every text if there is nothing to learn from.  A null doc_id counts as
-held out.  Repeated rows get equal results.
+so does every text if there is nothing to learn from (an empty table).  A null
+doc_id counts as held out.  Repeated rows get equal results; equal margins go to
+the language that sorts first.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +35,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from framesieve.llm.common import ship
+from framesieve.llm.common import checkpointed, ship
 
 BINS = 1 << 15
 GRAMS = 3
 PER_LANGUAGE = 150
+TOTAL_ROWS = 3000
 LANDMARKS = 48
+TOTAL_LANDMARKS = 800
 TRAIN_CHARS = 20_000
+PIECES = 10
 MAX_LANGUAGES = 400
 RIDGE = 1e-3
 SHARPNESS = 4.0
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_OTHERS = re.compile(r"[\W\d_]+")
 _MIX = np.uint32(0x9E3779B1)
 
 
@@ -64,18 +77,28 @@ def presence(texts: list[str]) -> np.ndarray:
 
 
 class Classifier:
-    """Languages, and the matrix that turns presence (scaled) into one margin a language."""
+    """Languages, the matrix that turns presence (scaled) into one margin a language, and the bins that each language's sample has."""
+
+    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, seen: np.ndarray):
+        self.languages, self.weights, self.bias, self.seen = languages, weights, bias, seen
+
+    def margins(self, texts: list[str]) -> np.ndarray:
+        x = presence(texts)
+        return x.astype(np.float32) @ self.weights / np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None] + self.bias
 
-    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray):
-        self.languages, self.weights, self.bias = languages, weights, bias
+    def known(self, text: str | None, label: str) -> float:
+        """Share of the text's letter grams that the label's sample has."""
+        if label == UNKNOWN:
+            return 0.0
+        own = np.unique(np.concatenate(bins_of(_OTHERS.sub(" ", text))))
+        return float(self.seen[self.languages.index(label), own].mean())
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
         for k in range(0, len(rows), 128):
             part = rows[k : k + 128]
-            x = presence([texts[i] for i in part])
-            margins = x.astype(np.float32) @ self.weights / np.sqrt(x.sum(axis=1))[:, None] + self.bias
+            margins = self.margins([texts[i] for i in part])
             e = np.exp(SHARPNESS * (margins - margins.max(axis=1, keepdims=True)))
             best = margins.argmax(axis=1)
             for i, b, p in zip(part, best, e[np.arange(len(part)), best] / e.sum(axis=1), strict=True):
@@ -87,24 +110,29 @@ def fit(rows: list[tuple[str, str]]) -> Classifier:
     """From (language, text), in a fixed order."""
     languages = sorted({lang for lang, _ in rows})
     if not rows:
-        return Classifier([], np.zeros((BINS, 0), np.float32), np.zeros(0))
-    marks = [t for lang in languages for t in [t for g, t in rows if g == lang][:LANDMARKS]]
-    x = presence([t for _, t in rows]).astype(np.float32)
-    z = presence(marks).astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
-    z /= np.sqrt(np.maximum(1, z.sum(axis=1, keepdims=True)))
+        return Classifier([], np.zeros((BINS, 0), np.float32), np.zeros(0), np.zeros((0, BINS), bool))
+    scaled = lambda x: x.astype(np.float32) / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+    each = max(1, min(LANDMARKS, TOTAL_LANDMARKS // len(languages)))
+    z = scaled(presence([t for lang in languages for t in [t for g, t in rows if g == lang][:each]]))
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = values > values.max() * 1e-6
     whiten = vectors[:, good] / np.sqrt(values[good])
-    features = (x @ z.T).astype(np.float64) @ whiten
+    seen = np.zeros((len(languages), BINS), bool)
+    kernel = []
+    for k in range(0, len(rows), 256):
+        part = rows[k : k + 256]
+        kernel.append(scaled(presence([t for _, t in part])) @ z.T)
+        for (lang, _), x in zip(part, presence([_OTHERS.sub(" ", t) for _, t in part]), strict=True):
+            seen[languages.index(lang)] |= x
+    features = np.concatenate(kernel).astype(np.float64) @ whiten
     target = np.array([[1.0 if lang == g else -1.0 for g in languages] for lang, _ in rows])
     # Every language weighs the same, whatever its share of the sample.
-    share = {g: sum(lang == g for lang, _ in rows) for g in languages}
+    share = Counter(lang for lang, _ in rows)
     weight = np.array([1.0 / share[lang] for lang, _ in rows])[:, None]
     both = np.hstack((features, np.ones((len(rows), 1))))
     penalty = RIDGE * np.diag([1.0] * features.shape[1] + [0.0])
     solved = np.linalg.solve(both.T @ (both * weight) + penalty + 1e-9 * np.eye(both.shape[1]), both.T @ (target * weight))
-    return Classifier(languages, (z.T.astype(np.float64) @ whiten @ solved[:-1]).astype(np.float32), solved[-1])
+    return Classifier(languages, (z.T.astype(np.float64) @ whiten @ solved[:-1]).astype(np.float32), solved[-1], seen)
 
 
 def fold(id_column: Column) -> Column:
@@ -115,33 +143,39 @@ def fold(id_column: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Classifier:
     """Learn from the sample; documents of fold 0 are never read for it."""
     d = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{lang}`"].alias("lang"), docs[f"`{text}`"].alias("text"))
-    able = d.where((fold(F.col("id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    counts = able.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    able = d.where((fold(F.col("id")) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    able = able.withColumn("long", F.length("text") > TRAIN_CHARS).withColumn("h", F.xxhash64("id", "text"))
+    # The least hash of each of some slots a language: what is sampled stays small, and no language goes empty.
+    slots = able.groupBy("lang", "long", F.pmod("h", F.lit(4 * PER_LANGUAGE)).alias("slot")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
+    slots = checkpointed(slots)
+    top = slots.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not top:
         return fit([])
-    # Thin out by hash before ranking: what a language's task sorts stays small.
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4.0 * PER_LANGUAGE / r["count"]))) for r in counts])
-    thin = able.withColumn("h", h).where(F.col("h") < share * float(1 << 40))
-    order = Window.partitionBy("lang").orderBy("h", "id", F.xxhash64("text"))
-    sample = thin.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE)
-    rows = [(r["lang"], r["text"]) for r in sorted(sample.select("lang", "n", "text").collect(), key=lambda r: (r["lang"], r["n"])) if _LETTER.search(r["text"])]
-    return fit(rows)
-
-
-def predict(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
-    """Struct column ``row`` (all of the columns of ``docs``) with ``lang_pred`` and ``score``."""
+    each = max(1, min(PER_LANGUAGE, TOTAL_ROWS // len(top)))
+    own = Window.partitionBy("lang").orderBy("long", "h")
+    chosen = slots.where(F.col("lang").isin([r["lang"] for r in top])).withColumn("k", F.row_number().over(own)).where(F.col("k") <= each).select("lang", "h", "k")
+    n = F.length("text")
+    # Pieces of a long text: evenly spaced, the last one at its end.
+    size = TRAIN_CHARS // PIECES
+    piece = lambda i: F.substr("text", (1 + F.floor(i * (n - size) / (PIECES - 1))).cast("int"), F.lit(size))
+    bounded = F.when(F.col("long"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), piece), " ")).otherwise(F.col("text"))
+    found = able.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "k", bounded.alias("text")).dropDuplicates(["lang", "k"])  # at most TOTAL_ROWS
+    return fit([(r["lang"], r["text"]) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["k"]))])
+
+
+def predict(docs: DataFrame, model: Classifier, text: str = "text", known: bool = False) -> DataFrame:
+    """Struct column ``row`` (all of the columns of ``docs``) with ``lang_pred``, ``score`` and, if asked for, ``known``."""
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("known", T.DoubleType())] * known])
 
     def run(batches):
         for batch in batches:
-            labels, scores = held.value.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores)], names=schema.names)
+            texts = batch.column(1).to_pylist()
+            labels, scores = held.value.predict(texts)
+            more = [pa.array([held.value.known(t, g) for t, g in zip(texts, labels, strict=True)], pa.float64())] * known
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores), *more], names=schema.names)
 
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{text}`"].alias("text"))
     return packed.mapInArrow(run, schema)

@@ -1,16 +1,24 @@
-"""Near copies by MinHash bands, each candidate pair verified by exact Jaccard similarity.
+"""Near copies by MinHash bands, each link verified by exact Jaccard similarity.
 
 A text's shingles are its runs of ``SHINGLE`` words (all of its words, if they
 are fewer).  ``BANDS`` bands of ``ROWS`` minima each send texts to buckets; two texts of
 similarity s share one with probability 1 - (1 - s^4)^24, 1 - 3.2e-6 at 0.8.
-Candidates are compared by their whole shingle sets, so no pair is linked below
-``SIMILARITY``.  Texts of equal shingle sets collapse first and make no pairs.
-
-Rows are told apart by id and a hash of the text.  Buckets compare all pairs: a
-family of m different near copies costs m^2 / 2 comparisons.
-
-Edge cases: a row without id or words belongs to no group and stays; so does
-each of several rows that are equal in id and text, if one does.
+Texts of equal shingle sets collapse first and make no pairs.
+
+No bucket emits its pairs.  Its smallest row is its leader, and every other row is
+verified against the leader alone, over whole shingle sets: one candidate a row
+and bucket.  That joins a family of copies, whatever its size.  What it can't
+tell is whether two rows that both differ from the leader, and that aren't joined
+by another bucket, are close: those rows alone go on, by bucket and class of size
+(sets of similarity s have sizes within s), to shards that compare blocks with
+blocks in memory and pass on a spanning forest.  So all pairs of a bucket that
+could still join two groups are compared; shards of over ``BLOCK`` shingles are
+dealt out as pairs of blocks.
+
+Rows are told apart by id and a hash of the text.
+
+Edge cases: a row without id or words belongs to no group and stays; of rows that
+are equal in id and text one stays, if any does.  Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framesieve.llm.common import checkpointed, ship
-from framesieve.llm.components import components
+from framesieve.llm.components import components, forest
 from framesieve.llm.substring import WordHashes
 
 SHINGLE = 5
@@ -36,6 +44,9 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = np.random.default_rng(43).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 _CHUNK = 4096
+#: Shingles that a block of a shard holds on average, and columns that a comparison takes at a time.
+BLOCK = 1 << 20
+_COLUMNS = 4096
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -93,27 +104,123 @@ def _small(names: DataFrame) -> DataFrame:
     return F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
 
 
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, shingles) of the wanted rows, once each, checkpointed."""
+    texts = rows.join(_small(wanted), "row", "left_semi").dropDuplicates(["row"])
+    return checkpointed(_arrow(texts.select("row", "text"), "shingles array<long>", lambda s: (s.view(np.int64),)))
+
+
+def _enough(shared: Column, a: Column, b: Column, similarity: float) -> Column:
+    return shared >= F.lit(similarity) * (a + b - shared) - 1e-9
+
+
+def buckets_of(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (bucket, row, n) of all buckets, and (bucket, leader) of those with more than one, one for each set of members."""
+    at = groups.select(F.explode("buckets").alias("bucket"), "row", "n")
+    tops = at.groupBy("bucket").agg(F.min("row").alias("leader"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    once = tops.where("m > 1").groupBy("leader", "m", "x", "y").agg(F.min("bucket").alias("bucket"))
+    return at, checkpointed(once.select("bucket", "leader"))
+
+
 def links(rows: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of ``groups`` (row, buckets) of at least the similarity."""
-    at = groups.select("row", F.explode("buckets").alias("bucket"))
-    pairs = checkpointed(at.alias("x").join(at.alias("y"), "bucket").where("x.row < y.row").select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct())
+    """(a, b): links with the components of all pairs of ``groups`` (row, n, buckets) that share a bucket and are similar enough."""
+    at, tops = buckets_of(groups)
+    members = checkpointed(at.join(tops, "bucket"))
+    apart = members.where("row <> leader")
+    pairs = checkpointed(apart.select(F.col("row").alias("a"), F.col("leader").alias("b")).distinct())
     ends = checkpointed(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
-    texts = rows.join(_small(ends), "row", "left_semi").dropDuplicates(["row"])
-    sets = checkpointed(_arrow(texts.select("row", "text"), "shingles array<long>", lambda s: (s.view(np.int64),)))
+    sets = _sets(rows, ends)
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb")), "b")
+    near = F.least(F.size("sa"), F.size("sb")) >= F.lit(similarity) * F.greatest(F.size("sa"), F.size("sb")) - 1e-9
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
+    stars = checkpointed(both.where(near).where(_enough(shared, F.size("sa"), F.size("sb"), similarity)).select("a", "b"))
+    label = checkpointed(components(stars).select(F.col("a").alias("row"), F.col("b").alias("label")))
+    rest = apart.join(label, "row", "left").select("bucket", "row", "n", F.coalesce("label", "row").alias("label"))
+    return stars.unionByName(_across(rest, sets, similarity))
+
+
+def _across(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between rows of different labels that share a bucket and a class of size, or classes next to each other."""
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(similarity)) + 1e-9)
+    both = F.array(F.struct(size.alias("size"), F.lit(True).alias("home")), F.struct((size + 1).alias("size"), F.lit(False).alias("home")))
+    placed = rest.select("bucket", "row", "n", "label", F.explode(both).alias("x")).select("bucket", "x.size", "x.home", "row", "n", "label")
+    open_ = placed.groupBy("bucket", "size").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("home").alias("home"), F.sum("n").alias("total"))
+    open_ = checkpointed(open_.where("home and lo <> hi").select("bucket", "size", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")))
+    dealt = placed.join(open_, ["bucket", "size"]).withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["bucket", "size", "i", "j"]
+    shards = dealt.select("bucket", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "home", "row").join(sets, "row")
+    ordered = shards.repartition(*key).sortWithinPartitions(*key).select(F.struct(*key).alias("shard"), "home", "row", "shingles")
+    kind = shards.schema["row"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def run(batches):
+        shard, home, rows, held = None, [], [], []
+
+        def ready():
+            a, b = close(held, np.array(home, bool), similarity)
+            t = pa.concat_arrays(rows)
+            return pa.RecordBatch.from_arrays([t.take(pa.array(a)), t.take(pa.array(b))], names=["a", "b"])
+
+        for batch in batches:
+            where = batch.column(0).to_pylist()
+            edges = [0, *(i for i in range(1, len(where)) if where[i] != where[i - 1]), len(where)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if hi == lo:
+                    continue
+                if shard != where[lo]:
+                    if len(held) > 1:
+                        yield ready()
+                    shard, home, rows, held = where[lo], [], [], []
+                home += batch.column(1).slice(lo, hi - lo).to_pylist()
+                rows.append(batch.column(2).slice(lo, hi - lo))
+                held += [batch.column(3)[k].values.to_numpy(zero_copy_only=False).copy() for k in range(lo, hi)]
+        if len(held) > 1:
+            yield ready()
+
+    return ordered.mapInArrow(run, schema)
+
+
+def close(sets: list[np.ndarray], home: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (index, smaller index) of the sets that are similar enough, one at least of each pair at home."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    row = np.repeat(np.arange(len(sets)), n)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Shingles of a single set are in no intersection.
+    number = np.cumsum(count > 1) - 1
+    kept = count[column] > 1
+    row, column = row[kept], number[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(column, (c, c + _COLUMNS))
+        own, inverse = np.unique(row[lo:hi], return_inverse=True)
+        x = np.zeros((len(own), _COLUMNS), np.float32)
+        x[inverse, column[lo:hi] - c] = 1
+        shared[np.ix_(own, own)] += x @ x.T
+    good = shared >= similarity * (n[:, None] + n[None, :] - shared) - 1e-6
+    a, b = np.nonzero(np.triu(good & (home[:, None] | home[None, :]), 1))
+    label = forest(a, b, len(sets))
+    moved = np.flatnonzero(label != np.arange(len(sets)))
+    return moved, label[moved]
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` less all rows but the smallest of each group that links of at least the similarity join."""
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(row_id(id_col, text).alias("row"), F.col(f"`{text}`").alias("text"))
-    marks = checkpointed(_arrow(rows, "digest binary, buckets array<long>", lambda s: (xxhash.xxh3_128_digest(s.tobytes()), buckets(s).view(np.int64))))
-    groups = checkpointed(marks.groupBy("digest").agg(F.min(F.struct("row", "buckets")).alias("x"), F.count("*").alias("n")).select("digest", "x.row", "x.buckets", "n"))
-    found = checkpointed(components(links(rows, groups.select("row", "buckets"), similarity)).select(F.col("a").alias("row")))
+    marks = checkpointed(_arrow(rows, "digest binary, n array<long>, buckets array<long>", lambda s: (xxhash.xxh3_128_digest(s.tobytes()), np.array([len(s)]), buckets(s).view(np.int64))))
+    marks = marks.withColumn("n", F.col("n")[0])
+    groups = checkpointed(marks.groupBy("digest").agg(F.min(F.struct("row", "n", "buckets")).alias("x"), F.count("*").alias("m")).select("digest", "x.row", "x.n", "x.buckets", "m"))
+    found = checkpointed(components(links(rows, groups.select("row", "n", "buckets"), similarity)).select(F.col("a").alias("row")))
     # Gone are the smallest rows that link to a smaller one, and all rows that equal another's shingles.
-    equal = marks.join(groups.where("n > 1").select("digest", F.col("row").alias("least")), "digest").where("row <> least").select("row")
+    equal = marks.join(groups.where("m > 1").select("digest", F.col("row").alias("least")), "digest").where("row <> least").select("row")
     gone = checkpointed(found.union(equal).distinct())
+    twice = checkpointed(marks.groupBy("row").count().where("count > 1").select("row"))
     names = [f"`{c}`" for c in docs.columns]
-    kept = docs.withColumn("_fs_row", row_id(id_col, text)).join(_small(gone.withColumnRenamed("row", "_fs_row")), "_fs_row", "left_anti")
+    named = docs.withColumn("_fs_row", row_id(id_col, text))
+    kept = named.join(_small(gone.withColumnRenamed("row", "_fs_row")), "_fs_row", "left_anti")
+    if not twice.isEmpty():
+        twice = _small(twice.withColumnRenamed("row", "_fs_row"))
+        kept = kept.join(twice, "_fs_row", "left_anti").unionByName(kept.join(twice, "_fs_row", "left_semi").dropDuplicates(["_fs_row"]))
     return kept.select(*names)

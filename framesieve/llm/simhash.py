@@ -15,9 +15,13 @@ visitors, exactly, over all 64 bits, and passes on a spanning forest of what it
 found instead of all pairs.  Leaves of over ``HOT`` rows are dealt out as pairs
 of blocks.
 
-Edge cases: no words give fingerprint 0, linked like any other.  Rows of a
-null doc_id get a fingerprint and take no part in naming components; repeated
-rows are members like others.
+A tree has more levels the more fingerprints there are, of 4, 2 or 1 bit each, so
+that leaves stay small; any number of levels finds the same links.
+
+Components are those of fingerprints.  Edge cases: no words give fingerprint 0,
+linked like any other.  A null doc_id joins its neighbours like any other row but
+names no component (a component without any id is named null); rows that
+share a doc_id are members one by one, whatever their texts.
 """
 
 from __future__ import annotations
@@ -29,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framesieve.llm import nearcopies
 from framesieve.llm.common import checkpointed, ship
-from framesieve.llm.components import components
+from framesieve.llm.components import components, forest
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-LEVELS = 8
+#: Levels of a tree, by the most fingerprints that they are meant for.
+LEVELS = ((20_000_000, 8), (2_000_000_000, 16), (1 << 62, 32))
 HOT = 8192
 VANTAGE = 0x5DEECE66D1CE4E5B
 _CHUNK = 100_000
@@ -79,19 +85,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _leaf(fp: Column, half: int) -> list[Column]:
+def levels_for(n: int) -> int:
+    return next(levels for most, levels in LEVELS if n <= most)
+
+
+def _leaf(fp: Column, half: int, levels: int) -> list[Column]:
     """Ring numbers of the fingerprint at each level of a half's tree."""
-    width = 32 // LEVELS
+    width = 32 // levels
     away = fp.bitwiseXOR(F.lit(_signed(VANTAGE)))
-    return [F.bit_count(F.shiftrightunsigned(away, 32 * half + width * k).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))) for k in range(LEVELS)]
+    return [F.bit_count(F.shiftrightunsigned(away, 32 * half + width * k).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))) for k in range(levels)]
 
 
-def shards(fps: DataFrame) -> DataFrame:
+def shards(fps: DataFrame, levels: int) -> DataFrame:
     """(leaf, fp, home): each distinct fingerprint in its leaves and, as a visitor, in the overlapping ones."""
-    base, rows = 32 // LEVELS + 1, []
+    base, rows = 32 // levels + 1, []
     for half in (0, 1):
-        rings = _leaf(F.col("fp"), half)
-        own = F.lit(half * base**LEVELS).cast("bigint")
+        rings = _leaf(F.col("fp"), half, levels)
+        own = F.lit(half * base**levels).cast("bigint")
         for k, r in enumerate(rings):
             own = own + r * F.lit(base**k).cast("bigint")
         rows.append(F.struct(own.alias("leaf"), F.lit(True).alias("home")))
@@ -109,21 +119,6 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return meets.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "home")
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest reachable index of each of n nodes, from links a, b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = np.minimum(new, new[new])
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def close_pairs(fps: np.ndarray, home: np.ndarray, radius: int, block: int = 1024):
     """Index pairs within the radius, one resident at least in each, block by block."""
     n = len(fps)
@@ -170,12 +165,12 @@ def _links_of(shard: np.ndarray, fps: np.ndarray, home: np.ndarray, radius: int)
     return fps[nodes[moved]], fps[nodes[label[moved]]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, levels: int | None = None) -> DataFrame:
     """(a, b): fingerprints whose links have the components of all pairs within ``radius`` (3 at most)."""
     if not 0 <= radius <= 3:
         raise ValueError("radius is 0 to 3")
     ship(fps.sparkSession)
-    dealt = _dealt(shards(fps))
+    dealt = _dealt(shards(fps, levels or levels_for(fps.count())))
     key = ("leaf", "i", "j")
     sorted_rows = dealt.repartition(*key).sortWithinPartitions(*key)
 
@@ -207,9 +202,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     fps = checkpointed(fingerprints(docs, id_col, text))
     groups = checkpointed(fps.groupBy("fp").agg(F.min(id_col).alias("rep")))
     pairs = links(groups.select("fp"), radius).distinct()
-    left, right = groups.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), groups.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    # A group without any id is named after its fingerprint's smallest neighbour only through others.
-    named = pairs.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    found = components(named)
-    names = groups.join(found.withColumnRenamed("a", "rep").withColumnRenamed("b", "low"), "rep", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
+    found = components(pairs).withColumnsRenamed({"a": "fp", "b": "low"})
+    named = groups.join(found, "fp", "left").select("fp", "rep", F.coalesce("low", "fp").alias("low"))
+    least = named.groupBy("low").agg(F.min("rep").alias("component_id"))
+    names = named.join(least, "low").select("fp", "component_id")
     return fps.join(names, "fp").select(id_col, "fp", "component_id")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` less near copies: texts whose 5-word shingles have a similarity of 0.8 or more.
+
+    Fingerprints of 64 bits can't decide that: at 0.8 they differ in some 10 bits (up
+    to 20), a radius at which vantage-point rings prune nothing.  So this rule has a
+    search of its own, see ``nearcopies``; ``near_duplicates`` keeps to its 3 bits.
+    """
+    return nearcopies.without_copies(docs, id_col, text)

@@ -201,9 +201,28 @@ def test_links(spark, monkeypatch, hot):
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     at = {x: i for i, x in enumerate(signed)}
-    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()
-    a, b = (np.array([at[r[k]] for r in found], np.int64) for k in (0, 1))
-    assert simhash.forest(a, b, len(fps)).tolist() == reach(fps)
+    for levels in (8, 16, 32) if hot == 40 else (None,):
+        found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), levels=levels).collect()
+        a, b = (np.array([at[r[k]] for r in found], np.int64) for k in (0, 1))
+        assert components.forest(a, b, len(fps)).tolist() == reach(fps)
+
+
+def test_levels_follow_the_count():
+    assert [simhash.levels_for(n) for n in (0, 20_000_000, 20_000_001, 10**10)] == [8, 8, 16, 32]
+
+
+def test_components_of_repeated_and_null_ids(spark, monkeypatch):
+    """Links are between fingerprints: ids only name what they join."""
+    prints = {"a": 0, "b": 0b111, "c": 0xFFFF0000, "d": 0xFFFF0001, "e": 0b111000, "n": 0b111111 << 40, "m": 0b111 << 40}
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle=3: prints[text])
+    monkeypatch.setattr(simhash, "ship", lambda spark: None)
+    rows = [(1, "a"), (5, "b"), (5, "c"), (7, "d"), (None, "e"), (None, "n"), (None, "m"), (None, "m")]
+    monkeypatch.setattr(simhash, "fingerprints", lambda df, *a: spark.createDataFrame([(i, prints[t]) for i, t in rows], "doc_id long, fp long"))
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert got == {(1, 0): 1, (5, 0b111): 1, (5, 0xFFFF0000): 5, (7, 0xFFFF0001): 5, (None, 0b111000): 1, (None, prints["n"]): 1, (None, prints["m"]): 1}
+    alone = [(None, "d"), (3, "a")]
+    monkeypatch.setattr(simhash, "fingerprints", lambda df, *a: spark.createDataFrame([(i, prints[t]) for i, t in alone], "doc_id long, fp long"))
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(alone, TEXTS)).collect()} == {(None, None), (3, 3)}
 
 
 def test_near_duplicates(spark, docs):
@@ -400,11 +419,58 @@ def test_language_edges(spark, docs):
 
 
 def test_kernel():
-    """The margin is the kernel expansion over landmarks, collapsed into one matrix."""
-    rows = [("x", "abc abd"), ("x", "abe abf"), ("y", "zzz qqq"), ("y", "zqz zqq")]
+    """Margins are those of plain kernel ridge regression, one language against the rest, if all rows are landmarks."""
+    rng = np.random.default_rng(5)
+    alphabets = {"x": "abcdef ", "y": "defghi ", "z": "ghijkl "}
+    rows = [(g, "".join(rng.choice(list(a), rng.integers(3, 60)))) for g, a in alphabets.items() for _ in range(12)]
+    probes = ["abc abd", "ghi", "def fed", "kkk lll", "a"]
     model = langid.fit(rows)
-    assert [model.predict([t])[0][0] for _, t in rows] == ["x", "x", "y", "y"]
+
+    def kernel(p, q):
+        x, y = (set(np.flatnonzero(langid.presence([t])[0])) for t in (p, q))
+        return len(x & y) / math.sqrt(len(x) * len(y))
+
+    texts = [t for _, t in rows]
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])
+    # Weighted, with a bias that isn't punished: (K + ridge / weight) a + b = y, and the sum of a is 0.
+    n = len(rows)
+    system = np.zeros((n + 1, n + 1))
+    system[:n, :n] = k + langid.RIDGE * np.diag([12.0] * n)
+    system[:n, n] = system[n, :n] = 1
+    target = np.array([[1.0 if g == h else -1.0 for h in model.languages] for g, _ in rows])
+    solved = np.linalg.solve(system, np.vstack((target, np.zeros((1, 3)))))
+    want = np.array([[kernel(p, t) for t in texts] for p in probes]) @ solved[:n] + solved[n]
+    assert np.allclose(model.margins(probes), want, atol=2e-3)
     grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-    for a, b in itertools.product([t for _, t in rows], repeat=2):
+    for a, b in itertools.product(texts[:4], repeat=2):
         p, q = langid.presence([a])[0], langid.presence([b])[0]
         assert abs(int((p & q).sum()) - len(grams(a) & grams(b))) <= 1  # bins may collide
+
+
+def test_training_sample(spark, monkeypatch):
+    """Languages of long texts only, repeated ids and many languages are learned; the bounds hold."""
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 400)
+    able = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, "abc abd " * 100, "long") for i in able[:30]] + [(able[40], f"xyz zyx {i}", "repeated") for i in range(700)] + [(i, f"{chr(0x3041 + i % 80) * 3} {chr(0x3041 + i % 80)}", f"l{i % 80}") for i in able[50:800]] + [(i, "999", "digits") for i in able[:9]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda r: (seen.append(r), fit(r))[1])
+    model = langid.train(df)
+    sizes = Counter(g for g, _ in seen[0])
+    assert set(model.languages) == {"long", "repeated", *(f"l{k}" for k in range(80))} and max(sizes.values()) <= langid.TOTAL_ROWS // 82
+    assert max(len(t) for _, t in seen[0]) <= 400 + langid.PIECES
+    assert model.predict(["abd abc", "zyx xyz", "\u3044\u3044"])[0] == ["long", "repeated", "l3"]
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    assert set(langid.train(df).languages) == {"long", "repeated"}
+
+
+def test_known_share(spark, docs, texts):
+    """Rejecting texts of no learned language depends on no number of languages."""
+    text = {r.doc_id: r.text for r in docs.where("lang in ('fr', 'es')").collect()}
+    model = langid.train(docs.where("lang in ('en', 'de')"))
+    share = [model.known(t, model.predict([t])[0][0]) for t in text.values() if t and len(t) > 200]
+    assert len(model.languages) == 2 and np.median(share) < 0.6
+    own = [model.known(t, model.predict([t])[0][0]) for t in (r.text for r in docs.where("lang in ('en', 'de')").collect()) if t and langid._LETTER.search(t)]
+    assert np.percentile(own, 2) > 0.6
+    assert model.known("qxj zzkw vvpq", "en") < 0.6 and model.known(None, "und") == 0.0
