@@ -26,6 +26,7 @@ the language that sorts first.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from framesieve.llm.common import checkpointed, ship
+from framesieve.llm.common import checkpointed, ship, small_batches, trimmed
 
 BINS = 1 << 15
 GRAMS = 3
@@ -50,13 +51,17 @@ RIDGE = 1e-3
 SHARPNESS = 4.0
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_OTHERS = re.compile(r"[\W\d_]+")
+#: Whether each code point is a letter.
+_LETTERS = np.zeros(sys.maxunicode + 1, bool)
 _MIX = np.uint32(0x9E3779B1)
 
 
-def bins_of(text: str) -> list[np.ndarray]:
-    """Bins of every 1- to 3-gram of the lower-cased text, with repeats."""
+def bins_of(text: str, letters: bool = False) -> list[np.ndarray]:
+    """Bins of every 1- to 3-gram of the lower-cased text, with repeats; ``letters``: runs of anything else count as one space."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    if letters:
+        own = letter_table()[c]
+        c = np.where(own, c, np.uint32(32))[own | np.concatenate(([True], own[:-1]))]
     out, h = [], np.zeros(len(c), np.uint32)
     shift = np.uint32(32 - (BINS.bit_length() - 1))
     for n in range(GRAMS):
@@ -68,10 +73,17 @@ def bins_of(text: str) -> list[np.ndarray]:
     return out
 
 
-def presence(texts: list[str]) -> np.ndarray:
+def letter_table() -> np.ndarray:
+    """Made once a process."""
+    if not _LETTERS[65]:
+        _LETTERS[:] = [chr(i).isalpha() for i in range(len(_LETTERS))]
+    return _LETTERS
+
+
+def presence(texts: list[str], letters: bool = False) -> np.ndarray:
     x = np.zeros((len(texts), BINS), bool)
     for i, t in enumerate(texts):
-        for b in bins_of(t):
+        for b in bins_of(t, letters):
             x[i, b] = True
     return x
 
@@ -90,8 +102,8 @@ class Classifier:
         """Share of the text's letter grams that the label's sample has."""
         if label == UNKNOWN:
             return 0.0
-        own = np.unique(np.concatenate(bins_of(_OTHERS.sub(" ", text))))
-        return float(self.seen[self.languages.index(label), own].mean())
+        own = presence([text], True)[0]
+        return float(np.count_nonzero(own & self.seen[self.languages.index(label)]) / np.count_nonzero(own))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -122,7 +134,7 @@ def fit(rows: list[tuple[str, str]]) -> Classifier:
     for k in range(0, len(rows), 256):
         part = rows[k : k + 256]
         kernel.append(scaled(presence([t for _, t in part])) @ z.T)
-        for (lang, _), x in zip(part, presence([_OTHERS.sub(" ", t) for _, t in part]), strict=True):
+        for (lang, _), x in zip(part, presence([t for _, t in part], True), strict=True):
             seen[languages.index(lang)] |= x
     features = np.concatenate(kernel).astype(np.float64) @ whiten
     target = np.array([[1.0 if lang == g else -1.0 for g in languages] for lang, _ in rows])
@@ -171,11 +183,11 @@ def predict(docs: DataFrame, model: Classifier, text: str = "text", known: bool
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("known", T.DoubleType())] * known])
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             texts = batch.column(1).to_pylist()
             labels, scores = held.value.predict(texts)
             more = [pa.array([held.value.known(t, g) for t, g in zip(texts, labels, strict=True)], pa.float64())] * known
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores), *more], names=schema.names)
 
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{text}`"].alias("text"))
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(trimmed(run), schema)

@@ -16,7 +16,8 @@ bucket's).
 
 Edge cases: a null text is one end token; an id of null counts as fold 0, held
 out; repeated rows are scored and learned from one by one; if nothing can be
-learned from, every token has probability 1 (V = 0).
+learned from, every token has probability 1 (V = 0); an empty table gives an empty
+one.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesieve.llm.common import checkpointed, ship, shuffle_partitions
+from framesieve.llm.common import checkpointed, planned_bytes, ship, shuffle_partitions
 from framesieve.llm.substring import WordHashes, _from_planes, _from_tight, _planes, _tight
 
 FOLDS = 10
 TUNING = 1
 CHUNK = 6_000_000
+BUCKET = 8 << 20
 END, BEGIN = np.uint64(0xE7D5F0A1B2C3D4E5), np.uint64(0xB3610000C0FFEE11)
 BUCKETS = 32  # of context frequency: 0, 1, 2-3, 4-7, ...
 BINS = 48  # of log probability, for tuning only
@@ -46,39 +48,43 @@ def fold(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def _packed(batches):
-    """Chunks (chunk, blob): rows of (id, fold, text) as a compressed Arrow stream; odd chunk numbers hold the tuning fold."""
-    task, made = TaskContext.get().partitionId(), 0
-    held: dict[bool, list] = {False: [], True: []}
-    size = {False: 0, True: 0}
-
-    def out(tuning: bool) -> pa.RecordBatch:
-        nonlocal made
-        table = pa.Table.from_batches(held[tuning])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(table.combine_chunks())
-        made += 1
-        held[tuning], size[tuning] = [], 0
-        return pa.RecordBatch.from_arrays([pa.array([(task << 24 | made) << 1 | tuning], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "blob"])
-
-    for batch in batches:
-        fold_of = batch.column(1).to_numpy(zero_copy_only=False)
+def _packed(limit: int):
+    """Chunks (chunk, blob) of some ``limit`` bytes: rows of (id, fold, text) as a compressed Arrow stream; odd chunk numbers hold the tuning fold."""
+
+    def run(batches):
+        task, made = TaskContext.get().partitionId(), 0
+        held: dict[bool, list] = {False: [], True: []}
+        size = {False: 0, True: 0}
+
+        def out(tuning: bool) -> pa.RecordBatch:
+            nonlocal made
+            table = pa.Table.from_batches(held[tuning])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table.combine_chunks())
+            made += 1
+            held[tuning], size[tuning] = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([(task << 24 | made) << 1 | tuning], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "blob"])
+
+        for batch in batches:
+            fold_of = batch.column(1).to_numpy(zero_copy_only=False)
+            for tuning in (False, True):
+                own = batch.filter(pa.array((fold_of == TUNING) == tuning))
+                lengths = pa.compute.binary_length(own.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
+                start = 0
+                for i, n in enumerate(lengths.tolist()):
+                    size[tuning] += n + 1
+                    if size[tuning] >= limit:
+                        held[tuning].append(own.slice(start, i + 1 - start))
+                        start = i + 1
+                        yield out(tuning)
+                if start < own.num_rows:
+                    held[tuning].append(own.slice(start))
         for tuning in (False, True):
-            own = batch.filter(pa.array((fold_of == TUNING) == tuning))
-            lengths = pa.compute.binary_length(own.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
-            start = 0
-            for i, n in enumerate(lengths.tolist()):
-                size[tuning] += n + 1
-                if size[tuning] >= CHUNK:
-                    held[tuning].append(own.slice(start, i + 1 - start))
-                    start = i + 1
-                    yield out(tuning)
-            if start < own.num_rows:
-                held[tuning].append(own.slice(start))
-    for tuning in (False, True):
-        if held[tuning]:
-            yield out(tuning)
+            if held[tuning]:
+                yield out(tuning)
+
+    return run
 
 
 def _pairs(before: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
@@ -140,8 +146,9 @@ _zip = pa.Codec("zstd")
 def _totals(table: pa.Table) -> pa.Table:
     """Answers of one bucket, and (chunk -1) what its words add to V and N."""
     out = []
+    every = table.to_pylist()
     for kind in (_WORD, _PAIR):
-        rows = [r for r in table.to_pylist() if r["kind"] == kind]
+        rows = [r for r in every if r["kind"] == kind]
         if not rows:
             continue
         keys = [np.cumsum(_from_tight(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
@@ -228,9 +235,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     """Per row: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ship(spark)
-    bits = max(9, (8 * shuffle_partitions(spark) - 1).bit_length())
+    # So many buckets that what one holds stays small, by partitions and by the table's size.
+    bits = max(9, (8 * shuffle_partitions(spark) - 1).bit_length(), (planned_bytes(docs) // BUCKET).bit_length())
     rows = docs.select(docs[f"`{id_col}`"], fold(docs[f"`{id_col}`"]).cast("int").alias("_fs_fold"), docs[f"`{text}`"].alias("_fs_text"))
-    chunks = checkpointed(rows.mapInArrow(_packed, "chunk long, blob binary"))
+    chunks = checkpointed(rows.mapInArrow(_packed(CHUNK), "chunk long, blob binary"))
     asked = chunks.mapInArrow(_requests(bits), "bucket int, chunk long, kind int, keys binary, counts binary")
     answers = checkpointed(asked.groupBy("bucket").applyInArrow(_totals, _ANSWER))
     v, n = answers.where("chunk = -1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()

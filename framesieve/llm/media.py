@@ -1,20 +1,28 @@
 """Interleaved documents: ordered text and media references, with payloads behind digests.
 
 ``interleave`` parses HTML into one ordered array of segments; a media segment
-has its reference's digest, its caption and its position.  ``store_bytes`` keeps
-a payload as a lossless PNG of 8-bit RGB samples, 64 pixels (192 bytes) a row,
-under the digest of the stored form.  ``resolve`` joins sequences to a media
-table by digest; a segment keeps its place and caption whether or not its
-payload is found.
+has its reference's digest, its caption and its position.  ``resolve`` joins
+sequences to a media table by digest; a segment keeps its place and caption whether
+or not its payload is found.
+
+``media_features`` cuts a document's padded text into slices of at most ``SLICE`` bytes.
+``store`` keeps each as a lossless PNG of 8-bit RGB samples, 64 pixels (192 bytes) a row,
+in a written table, under the digest of its samples.  ``pages`` writes the document as HTML:
+before each slice's figure the stretch of text that it goes with.  The pages are parsed, their
+references resolved, and what was stored is read back: by digest where one
+slice is the document, else brought together by document in order of position.
 
 Edge cases: null HTML has no segments; a null text is stored as empty, i.e. one
 row of blanks; a repeated digest resolves to one payload; unknown digests
-resolve to null.
+resolve to null; what stands in silent elements (scripts, heads, templates) is no
+segment; repeated rows have a row each; empty tables give empty ones.  A media
+table's columns that clash with a sequence's get the suffix ``_media``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import html as markup
 import struct
 import zlib
 from html.parser import HTMLParser
@@ -26,8 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framesieve.llm.common import checkpointed, ship
+from framesieve.llm.nearcopies import row_id
 
 ROW = 192
+SLICE = 256 * ROW
 SCHEME = "sha256:"
 _MAGIC = b"\x89PNG\r\n\x1a\n"  # fixed value: PNG's signature
 SEGMENT = "struct<position:int,kind:string,text:string,ref:string,digest:string,caption:string>"
@@ -53,6 +63,8 @@ class _Sequence(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in _SILENT:
             self.silent += 1
+        elif self.silent:
+            return
         elif tag == "figure":
             self._text()
             self.figure = []
@@ -112,9 +124,10 @@ def interleave(pages: DataFrame, id_col: str, html: str = "html") -> DataFrame:
 
 def resolve(sequences: DataFrame, media: DataFrame, id_col: str, digest: str = "digest") -> DataFrame:
     """One row per media segment: ``id_col``, position, caption, digest, then the media table's other columns."""
-    refs = sequences.select(id_col, F.explode("segments").alias("_s")).where("_s.kind = 'media'")
-    refs = refs.select(id_col, F.col("_s.position").alias("position"), F.col("_s.caption").alias("caption"), F.col("_s.digest").alias(digest))
-    return refs.join(media, digest, "left")
+    refs = sequences.select(F.col(f"`{id_col}`"), F.explode("segments").alias("_s")).where("_s.kind = 'media'")
+    refs = refs.select(F.col(f"`{id_col}`"), F.col("_s.position").alias("position"), F.col("_s.caption").alias("caption"), F.col("_s.digest").alias(digest))
+    clear = media.select(*(F.col(f"`{c}`").alias(f"{c}_media" if c != digest and c in refs.columns else c) for c in media.columns))
+    return refs.join(clear, digest, "left")
 
 
 def padded(text: str | None) -> bytes:
@@ -167,51 +180,114 @@ def feature(payload: bytes) -> str:
     return f"rgb{ROW // 3}x{len(x) // ROW};mean={mean:.4f};sd={spread:.4f};bits={float(-(share * np.log2(share)).sum()):.4f};hist={bins}"
 
 
-def store_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``n_bytes``, ``digest`` and ``media`` of the padded text."""
+def slices(text: str | None) -> list[bytes]:
+    """The padded text in order, each of at most ``SLICE`` bytes and whole rows."""
+    payload = padded(text)
+    return [payload[i : i + SLICE] for i in range(0, len(payload), SLICE)]
+
+
+def page(text: str | None) -> str:
+    """The document as HTML: each slice's stretch of text, and a figure that refers to the slice."""
+    text, parts = text or "", slices(text)
+    n, size = len(parts), len(text.encode())
+    out = []
+    for k, part in enumerate(parts):
+        stretch = markup.escape(text[k * len(text) // n : (k + 1) * len(text) // n])
+        out.append(f'<p>{stretch}</p><figure><img src="{SCHEME}{hashlib.sha256(part).hexdigest()}"><figcaption>{k + 1} of {n}, {size} bytes</figcaption></figure>')
+    return f"<article>{''.join(out)}</article>"
+
+
+def pages(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
+    """Per row: ``id_col`` and ``html``."""
     ship(docs.sparkSession)
-    schema = T.StructType([docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("media", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = part.column(1).to_pylist()
-                stored = [to_png(padded(t)) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([page(t) for t in part.column(1).to_pylist()], pa.string())], names=[id_col, "html"])
+
+    return docs.select(docs[f"`{id_col}`"], docs[f"`{text}`"].alias("_fs_text")).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("html", T.StringType())]))
+
+
+def store(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Per slice of each row: ``digest`` of its samples, ``media`` (the stored form), ``part`` (whether it is one of several)."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                cut = [slices(t) for t in batch.column(0).slice(i, 256).to_pylist()]
+                flat = [(x, len(parts) > 1) for parts in cut for x in parts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in stored]), pa.array(stored, pa.binary())],
-                    names=[id_col, "n_bytes", "digest", "media"],
+                    [pa.array([hashlib.sha256(x).hexdigest() for x, _ in flat]), pa.array([to_png(x) for x, _ in flat], pa.binary()), pa.array([several for _, several in flat])],
+                    names=["digest", "media", "part"],
                 )
 
-    return docs.select(docs[f"`{id_col}`"], docs[f"`{text}`"].alias("_fs_text" if text == id_col else text)).mapInArrow(run, schema)
+    return docs.select(docs[f"`{text}`"].alias("_fs_text")).mapInArrow(run, "digest string, media binary, part boolean")
+
+
+_FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_NAMES = [x.split()[0] for x in _FEATURES.split(", ")]
+
+
+def read_features(stored: list[bytes]) -> tuple:
+    """Of a payload that is stored in these pieces, from the stored bytes."""
+    payload, whole = b"".join(map(from_png, stored)), b"".join(stored)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(whole), hashlib.sha256(whole).hexdigest(), feature(payload)
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)]
+
+
+def _once(media: DataFrame) -> DataFrame:
+    # Grouped by more than the digest, so that a later join deals by digest anew and may split hot ones.
+    return media.groupBy("digest", F.xxhash64("digest").alias("_fs_h")).agg(*(F.first(c).alias(c) for c in media.columns if c != "digest")).drop("_fs_h")
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Per digest: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, from the stored bytes."""
+    """Per digest: what ``read_features`` tells of the stored bytes."""
     ship(media.sparkSession)
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for digest, stored in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                m = stored.as_py()
-                p = from_png(m)
-                rows.append((digest, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            columns = zip(*rows, strict=True) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    every = media.select("digest", "media").mapInArrow(run, schema)
-    # Grouped by more than the digest, so that a later join deals by digest anew and may split hot ones.
-    once = every.groupBy("digest", F.xxhash64("digest").alias("_fs_h")).agg(*(F.first(c).alias(c) for c in every.columns[1:]))
-    return once.drop("_fs_h")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns([read_features([m.as_py()]) for m in batch.column(1)])], names=["digest", *_NAMES])
+
+    return _once(media.select("digest", "media").mapInArrow(run, f"digest string, {_FEATURES}"))
+
+
+def reassemble(found: DataFrame) -> DataFrame:
+    """``found`` (row, position, total, n_bytes, media) to (id, n_bytes, slices, features): the pieces of each document in order of position."""
+    ship(found.sparkSession)
+    kind = found.schema["row"].dataType["id"].dataType
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("position", "total", "media")), strict=True), key=lambda r: r[0])
+        copies = sum(r[0] == rows[0][0] for r in rows)  # of rows that are equal in id and text
+        pieces = [r[2] for r in rows[::copies]]
+        if len(pieces) != rows[0][1] or None in pieces:
+            raise ValueError(f"{len(pieces)} pieces of {rows[0][1]}")
+        one = read_features(pieces)
+        ids = table.column("row").combine_chunks().field("id").take(pa.array([0] * copies))
+        return pa.table([ids, table.column("n_bytes").take(pa.array([0] * copies)), pa.array([len(pieces)] * copies, pa.int64()), *_columns([one] * copies)], names=["id", "n_bytes", "slices", *_NAMES])
+
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("slices", T.LongType()), *T.StructType.fromDDL(_FEATURES).fields])
+    return found.select("row", "position", "total", "n_bytes", "media").groupBy("row").applyInArrow(run, schema)
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every text as media, refer to it from a one-figure page, parse the pages, and resolve their references."""
-    stored = checkpointed(store_bytes(docs, id_col, text))
-    pages = stored.select(id_col, F.concat(F.lit('<article><figure><img src="' + SCHEME), "digest", F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure></article>")).alias("html"))
-    found = resolve(interleave(pages, id_col), read_back(stored), id_col)
-    return found.select(id_col, F.col("caption").cast("bigint").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """Per row: ``id_col``, n_bytes, the features of what its media hold, and ``slices``, their number."""
+    rows = docs.select(row_id(id_col, text).alias("row"), docs[f"`{text}`"].alias("text"))
+    stored = checkpointed(store(rows))
+    sequences = interleave(pages(rows, "row"), "row")
+    refs = sequences.select("row", F.filter("segments", lambda s: s["kind"] == "media").alias("segments"))
+
+    def told(found: DataFrame) -> DataFrame:
+        return found.withColumn("total", F.regexp_extract("caption", "of ([0-9]+),", 1).cast("int")).withColumn("n_bytes", F.regexp_extract("caption", ", ([0-9]+) bytes", 1).cast("bigint"))
+
+    alone = told(resolve(refs.where(F.size("segments") == 1), read_back(stored.where("not part")), "row"))
+    several = told(resolve(refs.where(F.size("segments") > 1), _once(stored.where("part").select("digest", "media")), "row"))
+    both = alone.select(F.col("row.id").alias("id"), "n_bytes", F.lit(1).cast("bigint").alias("slices"), *_NAMES).unionByName(reassemble(several))
+    return both.select(F.col("id").alias(id_col), "n_bytes", *_NAMES, "slices")

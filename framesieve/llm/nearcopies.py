@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesieve.llm.common import checkpointed, ship
+from framesieve.llm.common import checkpointed, ship, small_batches, trimmed
 from framesieve.llm.components import components, forest
 from framesieve.llm.substring import WordHashes
 
@@ -90,13 +90,13 @@ def _arrow(rows: DataFrame, kind: str, values) -> DataFrame:
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             found = [values(s) if len(s := shingles(t, known)) else None for t in batch.column(1).to_pylist()]
             kept = [i for i, x in enumerate(found) if x is not None]
             columns = [pa.array([found[i][c] for i in kept], k) for c, k in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), *columns], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def _small(names: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _across(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         if len(held) > 1:
             yield ready()
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(trimmed(run), schema)
 
 
 def close(sets: list[np.ndarray], home: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,9 @@
 
 Everything is a row-local Catalyst expression: no shuffle, no Python.  A
 pattern's matches and the gaps between them are two arrays of equal order, so
-code-point positions are a running sum of their lengths.
+code-point positions are a running sum of their lengths.  Sums and redacted pieces
+are made by blocks of ``BLOCK`` matches, as an array that grows is copied at every step:
+a text of many matches costs its length, not its square.
 
 Base kinds (``email ip card phone``) keep every valid leftmost match.  The
 method adds spans that those greedy patterns swallow: a card or phone number
@@ -12,7 +14,7 @@ spans carry a score: pattern weight + checksum + context words in the 48
 characters before; those under ``THRESHOLD`` are dropped.
 
 Edge cases: a null text counts as empty (no spans; ``redact`` keeps it null).
-Repeated rows are handled one by one.  Patterns are possessive or anchored, so
+Repeated rows are handled one by one; an empty table gives an empty one.  Patterns are possessive or anchored, so
 a long run of class characters costs linear time and no recursion.
 """
 
@@ -25,6 +27,9 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 THRESHOLD = 0.6
 CONTEXT = 48
+BLOCK = 64
+#: Characters of the shortest candidate that can be of a kind.
+LEAST = {"card": 9, "phone": 9}
 
 # Possessive forms of the contract's patterns: equal matches, linear time.  An
 # e-mail address starts a run of its class, or where the last match ended.
@@ -63,18 +68,44 @@ def _pairs(text: Column, pattern: str) -> Column:
     return _zipped(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), text, pattern)
 
 
-def _spans(pairs: Column) -> Column:
-    """array<struct<s, e, m, c>> with positions and the lower-cased context before."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(rows: Column) -> Column:
+    """The array in runs of ``BLOCK``; it mustn't be empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")), lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _before(blocks: Column, of_block, join) -> Column:
+    """For each block what ``join`` has made of the earlier blocks' values, from 0."""
+    step = lambda acc, x: F.struct(join(acc["p"], x).alias("p"), F.concat(acc["o"], F.array(acc["p"])).alias("o"))
+    start = F.struct(F.lit(0).cast("bigint").alias("p"), F.array().cast("array<bigint>").alias("o"))
+    return F.aggregate(F.transform(blocks, of_block), start, step, lambda a: a["o"])
+
+
+def _spans(pairs: Column, least: int = 0) -> Column:
+    """array<struct<s, e, m, c>> of matches of at least so many characters, with positions and the lower-cased context before."""
     kind = "array<struct<s:bigint,e:bigint,m:string,c:string>>"
+    width = lambda x: (F.length(x["g"]) + F.length(x["m"])).cast("bigint")
 
     def step(acc, x):
         s = acc["p"] + F.length(x["g"])
         e = s + F.length(x["m"])
         one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.lower(F.right(x["g"], F.lit(CONTEXT))).alias("c"))
-        return F.struct(e.cast("bigint").alias("p"), F.concat(acc["o"], F.array(one)).alias("o"))
+        grown = F.concat(acc["o"], F.array(one))
+        return F.struct(e.cast("bigint").alias("p"), (F.when(F.length(x["m"]) >= least, grown).otherwise(acc["o"]) if least else grown).alias("o"))
+
+    def located(block, p):
+        return F.aggregate(block, F.struct(p.alias("p"), F.array().cast(kind).alias("o")), step, lambda a: a["o"])
 
-    start = F.struct(F.lit(0).cast("bigint").alias("p"), F.array().cast(kind).alias("o"))
-    return F.coalesce(F.when(pairs.isNotNull(), F.aggregate(pairs, start, step, lambda a: a["o"])), F.array().cast(kind))
+    def whole(blocks):
+        starts = _before(blocks, lambda block: F.aggregate(block, F.lit(0).cast("bigint"), lambda n, x: n + width(x)), lambda p, n: p + n)
+        return F.flatten(F.zip_with(blocks, starts, located))
+
+    found = _let(pairs, lambda p: F.when(p.isNotNull(), _let(_blocks(p), whole)))
+    return F.coalesce(found, F.array().cast(kind))
 
 
 def _digits(x: Column) -> Column:
@@ -155,7 +186,7 @@ def _with_candidates(df: DataFrame, text: str) -> DataFrame:
     found = {k: F.regexp_extract_all(t, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
     df = df.withColumns({f"_m_{k}": F.when(guard[k], found[k]) if k in guard else found[k] for k in PATTERNS})
     df = df.withColumns({f"_p_{k}": _zipped(F.col(f"_m_{k}"), t, p) for k, p in PATTERNS.items()})
-    return df.withColumns({f"_c_{k}": _spans(F.col(f"_p_{k}")) for k in PATTERNS})
+    return df.withColumns({f"_c_{k}": _spans(F.col(f"_p_{k}"), LEAST.get(k, 0)) for k in PATTERNS})
 
 
 def _annotated(df: DataFrame, text: str) -> DataFrame:
@@ -204,20 +235,27 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     holder = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
     spans = _annotated(holder, "text")
 
-    def merge(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), last["kind"].alias("kind"))))
-        return F.when((F.size(acc) > 0) & (x["s"] < last["e"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    order = F.array_sort(F.transform(F.col("spans"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    merged = F.aggregate(order, F.array().cast("array<struct<s:bigint,e:bigint,kind:string>>"), merge)
     t = F.col("text")
+    cut = lambda x, start, n: F.substr(x, (start + 1).cast("int"), n.cast("int"))
+    last = lambda block: F.array_max(F.transform(block, lambda x: x["e"]))
+
+    def pieces(block, p):
+        def text_of(own):
+            def step(acc, x):
+                gap = cut(own, acc["p"] - p, x["s"] - acc["p"])
+                grown = F.concat(acc["o"], F.array(gap, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
+                return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.when(x["s"] >= acc["p"], grown).otherwise(acc["o"]).alias("o"))
 
-    def piece(acc, x):
-        gap = F.substr(t, (acc["p"] + 1).cast("int"), (x["s"] - acc["p"]).cast("int"))
-        return F.struct(x["e"].alias("p"), F.concat(acc["o"], F.array(gap, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("o"))
+            return F.aggregate(block, F.struct(p.alias("p"), F.array().cast("array<string>").alias("o")), step, lambda a: F.array_join(a["o"], ""))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("p"), F.array().cast("array<string>").alias("o"))
-    done = F.aggregate(merged, start, piece, lambda a: F.concat(F.array_join(a["o"], ""), F.substr(t, (a["p"] + 1).cast("int"))))
+        return _let(cut(t, p, F.greatest(last(block) - p, F.lit(0))), text_of)
+
+    def whole(blocks):
+        starts = _before(blocks, last, F.greatest)
+        end = F.array_max(F.transform(blocks, last))
+        return F.concat(F.array_join(F.zip_with(blocks, starts, pieces), ""), F.substr(t, (end + 1).cast("int")))
+
+    order = F.array_sort(F.transform(F.col("spans"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    done = _let(order, lambda spans: _let(_blocks(spans), whole))
     new = F.when(F.size("spans") > 0, done).otherwise(t)
     return spans.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -98,5 +98,30 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 """
 
 
+def _op6() -> str:
+    """The same votes in SQL: templates as a list of values, 2-grams joined by their words."""
+    rows = [f"({n}, '{label}', {phrase}, {exact}, {len(w)}, {must}, {q}, '{a}', '{b}')" for n, label, phrase, exact, w, must in license.notices() for q, (a, b) in enumerate(zip(w, w[1:], strict=False))]
+    return rf"""
+WITH t(template, label, phrase, exact, words, must, q, w1, w2) AS (VALUES {", ".join(rows)}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license.WORD}') AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d),
+diagonals AS (
+  SELECT doc_id, template, label, phrase, exact, words, must, i - 1 - q AS diagonal, bit_or(CAST(1 AS BIGINT) << q) AS mask, min(q) AS low
+  FROM g JOIN t ON g.w[i] = t.w1 AND g.w[i + 1] = t.w2 GROUP BY ALL),
+apart AS (SELECT *, CASE WHEN NOT exact AND diagonal - lag(diagonal) OVER own <= {license.SLACK} THEN 0 ELSE 1 END AS a FROM diagonals WINDOW own AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+runs AS (SELECT *, sum(a) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM apart),
+merged AS (SELECT doc_id, template, label, phrase, exact, words, must, run, bit_or(mask) AS mask, min(diagonal + low) AS start FROM runs GROUP BY ALL),
+covered AS (SELECT *, mask | (mask << 1) AS has, bit_count(mask | (mask << 1)) / words AS coverage FROM merged),
+good AS (SELECT * FROM covered WHERE CASE WHEN exact THEN bit_count(mask) = words - 1 ELSE coverage >= {license.COVERAGE} AND (has & must) = must END),
+sums AS (
+  SELECT doc_id, count(*) FILTER (WHERE phrase) AS n_base, min(start) FILTER (WHERE phrase) AS first_word, max(start) FILTER (WHERE phrase) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, round(max(coverage), 6) AS score
+  FROM good GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3}
+    return {"op3_substring_dedup": _OP3, "op6_license": _op6()}

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framesieve.llm import nearcopies
-from framesieve.llm.common import checkpointed, ship
+from framesieve.llm.common import checkpointed, ship, small_batches, trimmed
 from framesieve.llm.components import components, forest
 
 SHINGLE = 3
@@ -73,12 +73,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())])
-    return docs.select(docs[f"`{id_col}`"], docs[f"`{text}`"].alias("_fs_text" if text == id_col else text)).mapInArrow(run, schema)
+    return docs.select(docs[f"`{id_col}`"], docs[f"`{text}`"].alias("_fs_text" if text == id_col else text)).mapInArrow(trimmed(run), schema)
 
 
 def _signed(x: int) -> int:

@@ -14,7 +14,8 @@ Two different windows count as equal if their 64-bit hashes agree: expected
 for w windows are w^2 / 2^65 such pairs (under 0.001 for 10^8 windows).
 
 Edge cases: a null text has no words.  Rows that share a doc_id don't remove
-each other's words.  A row without doc_id is kept whole and removes nothing.
+each other's words.  A row without doc_id is kept whole and removes nothing.  An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesieve.llm.common import ship, shuffle_partitions
+from framesieve.llm.common import planned_bytes, ship, shuffle_partitions
 
 WINDOW = 50
 FLUSH = 1_200_000
-WORDS = 400_000
+BUCKET = 16 << 20
+WORDS = 150_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
 PACKED = "part int, settled boolean, docs binary, signs binary, runs binary, at binary, more binary"
@@ -256,11 +258,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """Per row: ``id_col``, ``n_words``, ``n_removed``, ``removed`` (word intervals), ``kept`` (kept words, one space between)."""
     spark = docs.sparkSession
     ship(spark)
-    buckets = prime_from(max(256, 8 * shuffle_partitions(spark)))
+    # So many buckets that what one holds stays small, by partitions and by the table's size.
+    buckets = prime_from(max(256, 8 * shuffle_partitions(spark), planned_bytes(docs) // BUCKET))
     width = 7
     texts = docs.select(docs[f"`{id_col}`"].cast("bigint").alias(id_col), docs[f"`{text}`"].alias("_fs_text"))
     windows = texts.mapInArrow(_hash_windows(window, buckets, width), PACKED)
     answers = windows.groupBy("part").applyInArrow(_judge(buckets, width), PACKED)
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType())])
-    left = texts.withColumn("part", F.pmod(F.col(id_col), F.lit(buckets)).cast("int"))
+    left = texts.withColumn("part", F.pmod(F.coalesce(F.col(id_col), F.xxhash64("_fs_text")), F.lit(buckets)).cast("int"))
     return left.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_cut(window, id_col), schema)
