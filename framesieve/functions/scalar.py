@@ -132,9 +132,9 @@ def simple_name(name: Column, part: Column, n_parts: Column) -> Column:
     return F.when(n_parts > 1, F.format_string("%s-part%03d.wav", name, part)).otherwise(F.concat(name, F.lit(".wav")))
 
 
-def detailed_name(prefix: str, label: Column, name: Column, rate: Column, start: Column, end: Column, part: Column) -> Column:
+def detailed_name(prefix: str, label: Column, name: Column, rate, start: Column, end: Column, part: Column) -> Column:
     """Frame numbers are relative to the selection."""
-    return F.format_string(f"{prefix}-%s-%s-%dHz-%09d-%09d-part%03d.wav", label, name, rate, start, end, part)
+    return F.format_string(f"{prefix}-%s-%s-%dHz-%09d-%09d-part%03d.wav", label, name, F.lit(rate), start, end, part)
 
 
 def safe_name(name: Column) -> Column:

@@ -11,7 +11,9 @@ from __future__ import annotations
 from dataclasses import astuple, dataclass, fields
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framesieve.shipping import ship
@@ -56,21 +58,31 @@ class Coordinator:
             old = self.oldest(chunk, chunks)
             expected = self.cursor
             if self.frozen_start >= 0:
-                # A range that failed to publish is given up with the rest.
+                # A range that failed to publish is given up with the rest; what was lost before it is still to be told.
+                self.pend_retention += self.frozen_start - self.cursor
                 self.pend_cleared += self.frozen_end - self.frozen_start
                 expected, self.frozen_start = self.frozen_end, -1
             self.pend_retention += max(0, old - expected)
             self.pend_cleared += max(0, self.head - max(expected, old))
             self.mark = self.cursor = self.head
             return ("cleared", None, None, 0, 0, 0)
-        if self.frozen_start < 0:
-            start = max(self.cursor, self.oldest(chunk, chunks))
-            silent, self.base = self.heard <= start, self.head
-            if start >= self.head:
-                return ("no_new_audio", None, None, *self._losses(0))
-            self.frozen_start, self.frozen_end, self.frozen_silent = start, self.head, int(silent)
+        if self.frozen_start < 0 and not self.freeze(chunk, chunks):
+            return ("no_new_audio", None, None, *self._losses(0))
         if fails and not self.frozen_silent:
             return ("error", self.frozen_start, self.frozen_end, 0, 0, 0)
+        return self.commit()
+
+    def freeze(self, chunk: int, chunks: int) -> bool:
+        """Keep what is new for a persist and begin another epoch, even if nothing is new; False if nothing is."""
+        start = max(self.cursor, self.oldest(chunk, chunks))
+        silent, self.base = self.heard <= start, self.head
+        if start >= self.head:
+            return False
+        self.frozen_start, self.frozen_end, self.frozen_silent = start, self.head, int(silent)
+        return True
+
+    def commit(self):
+        """Outcome of the frozen range; the cursor moves behind it, what came in meanwhile stays, and losses up to now are told."""
         start, end, kind = self.frozen_start, self.frozen_end, "skipped_silent" if self.frozen_silent else "written"
         lost = self._losses(start - self.cursor)
         self.cursor, self.frozen_start = end, -1
@@ -86,7 +98,7 @@ class Coordinator:
 def step_rows(session, rows: pd.DataFrame, c: Coordinator, geometry) -> list[tuple]:
     out = []
     fails = rows["fails"] if "fails" in rows else [False] * len(rows)
-    for seq, op, n, sound, bad in zip(rows["seq"], rows["op"], rows["n_frames"], rows["sound"], fails, strict=True):
+    for seq, op, n, sound, bad in zip(rows["seq"].tolist(), rows["op"].tolist(), rows["n_frames"].tolist(), rows["sound"].tolist(), list(fails), strict=True):
         got = c.step(op, int(n), bool(sound), bool(bad), geometry)
         if got:
             kind, start, end, *lost = got
@@ -95,6 +107,7 @@ def step_rows(session, rows: pd.DataFrame, c: Coordinator, geometry) -> list[tup
 
 
 _NAMES = [x.split()[0] for x in OUTCOME.split(", ")]
+_KINDS = [pa.string() if x.split()[1] == "string" else pa.int64() for x in OUTCOME.split(", ")]
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -117,14 +130,30 @@ def replay_stream(log: DataFrame, chunk: int, chunks: int, slots: int, slot_fram
 
 
 def replay_fold(log: DataFrame, chunk: int, chunks: int, slots: int, slot_frames: int) -> DataFrame:
-    """The same as a batch, for logs with failed publications (column ``fails``)."""
+    """The same as a batch, for logs with failed publications (column ``fails``).
+
+    Sessions stream through their task in order of seq: it holds one batch of
+    rows and one session's numbers, however long a session is.
+    """
     ship(log.sparkSession)
     geometry = (chunk, chunks, slots, slot_frames)
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return _frame(step_rows(key[0], rows.sort_values("seq"), Coordinator(), geometry))
-
-    return log.groupBy("session").applyInPandas(run, OUTCOME)
+    columns = ["session", "seq", "op", "n_frames", "sound", "fails"]
+    rows = log if "fails" in log.columns else log.withColumn("fails", F.lit(False))
+    ordered = rows.select(*columns).repartition("session").sortWithinPartitions("session", "seq")
+
+    def run(batches):
+        now, c = object(), Coordinator()
+        for batch in batches:
+            out = []
+            for session, seq, op, n, sound, bad in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if session != now:
+                    now, c = session, Coordinator()
+                if got := c.step(op, n, bool(sound), bool(bad), geometry):
+                    kind, start, end, *lost = got
+                    out.append((session, seq, op, kind, start, end, 0 if start is None else end - start, *lost))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * len(_NAMES), _KINDS, strict=True)], names=_NAMES)
+
+    return ordered.mapInArrow(run, OUTCOME)
 
 
 assert [f.name for f in fields(Coordinator)] == [x.split()[0] for x in STATE.split(", ")]

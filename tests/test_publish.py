@@ -1,4 +1,4 @@
-"""WAV sink: round trip, crash sweep, recovery, and the session on top."""
+"""WAV sink: round trip, crash sweep, recovery."""
 
 import json
 import os
@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framesieve.errors import CleanupError, IndeterminatePublication, UnidentifiedStaging
 from framesieve.functions import scalar as S
-from framesieve.plans.session import Busy, OperationLane, Session, respond
 from framesieve.sources import publish as P
 from framesieve.sources import scans
 
@@ -30,33 +30,149 @@ def test_round_trip(spark, tmp_path):
     assert len(list(tmp_path.glob("*.wav"))) == 6 and not list((tmp_path / ".staging").glob("*"))
 
 
+def test_slices_make_the_same_files(spark, tmp_path):
+    """Parts of any size: slices of a few frames, appended in order."""
+    rng = np.random.default_rng(1)
+    rows = [(c, f, float(v)) for c in (0, 1) for f, v in enumerate(rng.uniform(-1, 1, 1000), 50)]
+    df = spark.createDataFrame(rows, "channel int, frame long, sample float").repartition(7)
+    name = S.simple_name(S.channel_name(F.lit(None).cast("string"), F.col("channel")), F.col("part"), F.lit(3))
+    whole = {r.name: bytes(r.content) for r in P.wav_parts(df, S.long(50), 400, 48000, name).collect()}
+    pieces = P.wav_slices(df, S.long(50), 400, 48000, name, size=33)
+    assert pieces.agg(F.max("slice")).first()[0] == 13
+    spark.dataSource.register(P.WavSink)
+    pieces.write.format("framesieve_wav").option("path", str(tmp_path)).mode("append").save()
+    assert {p.name: p.read_bytes() for p in tmp_path.glob("*.wav")} == whole and len(whole) == 6
+    bad = pieces.where("slice <> 2").coalesce(1).sortWithinPartitions("name", "slice")
+    with pytest.raises(Exception, match="out of order"):
+        bad.write.format("framesieve_wav").option("path", str(tmp_path / "bad")).mode("append").save()
+    assert not list((tmp_path / "bad").rglob("*.wav"))
+
+
 class Stop(Exception):
     pass
 
 
-@pytest.mark.parametrize("kind,at,hit,outcome", [
-    ("recall", "prepared", 1, "rolled_back"), ("recall", "partial", 1, "rolled_back"), ("recall", "renamed", 1, "rolled_back"), ("recall", "partial", 2, "rolled_back"),
-    ("recall", "renamed", 2, "complete"), ("recall", "complete", 1, "complete"),
-    ("dump", "prepared", 1, "rolled_back"), ("dump", "renamed", 1, "complete"), ("dump", "complete", 1, "complete"),
-])
-def test_crash_sweep(tmp_path, kind, at, hit, outcome):
+def staged(tmp_path, names=("a.wav", "b.wav")):
     staging, out = tmp_path / "s" / "t1", tmp_path / "o"
     staging.mkdir(parents=True)
-    for n in ("a.wav", "b.wav"):
+    for n in names:
         (staging / n).write_bytes(b"x" + n.encode())
-    seen = []
+    return staging, out
 
-    def stop(point):
-        seen.append(point)
-        if seen.count(at) == hit and point == at:
+
+def stop_at(at, index):
+    def stop(point, i):
+        if (point, i) == (at, index):
             raise Stop
 
+    return stop
+
+
+# A file that was copied, but not yet written down, isn't provably ours.
+PER_FILE = {"recall_partial_created_before_manifest": "pending", "recall_partial_synced": "rolled_back", "recall_before_final_rename": "rolled_back", "recall_renamed_before_manifest": None, "recall_after_final_rename": None}
+SWEEP = [
+    *(("recall", at, i, want or ("complete" if i else "rolled_back")) for at, want in PER_FILE.items() for i in (0, 1)),
+    ("recall", "recall_manifest_prepared", None, "rolled_back"),
+    *(("recall", at, None, "complete") for at in ("recall_files_synced", "recall_output_synced", "recall_complete_recorded")),
+    ("dump", "dump_manifest_prepared", None, "rolled_back"),
+    *(("dump", at, None, "complete") for at in ("dump_after_rename", "dump_parent_synced", "dump_complete_recorded")),
+]
+
+
+def test_the_sweep_has_every_point():
+    assert {at for _, at, _, _ in SWEEP} | {"dump_files_synced", "dump_directory_synced"} == {*P.RECALL_POINTS, *P.DUMP_POINTS} and len({*P.RECALL_POINTS, *P.DUMP_POINTS}) == 15
+
+
+@pytest.mark.parametrize("kind,at,index,outcome", SWEEP)
+def test_crash_sweep(tmp_path, kind, at, index, outcome):
+    staging, out = staged(tmp_path)
     with pytest.raises(Stop):
-        P.publish(kind, staging, out, ["a.wav", "b.wav"], "d", stop)
-    assert P.recover(tmp_path / "s")[outcome] == 1
-    finals = sorted(p.name for p in out.rglob("*") if p.is_file())
+        P.publish(kind, staging, out, ["a.wav", "b.wav"], "d", stop_at(at, index))
+    found = P.recover(tmp_path / "s")
+    assert found[outcome] == found["discovered"] == 1 and bool(found["issues"]) == (outcome == "pending")
+    finals = sorted(p.name for p in out.rglob("*.wav"))
     assert finals == (["a.wav", "b.wav"] if outcome == "complete" else [])
-    assert P.recover(tmp_path / "s")["discovered"] == 0
+    assert P.recover(tmp_path / "s")["discovered"] == (outcome == "pending")
+    if outcome == "rolled_back":
+        assert not staging.exists() and not list(out.iterdir())
+
+
+@pytest.mark.parametrize("at", ["dump_files_synced", "dump_directory_synced"])
+def test_crash_before_the_manifest(tmp_path, at):
+    """Nothing is marked yet: the staging folder is as it was, and no name is claimed."""
+    staging, out = staged(tmp_path)
+    with pytest.raises(Stop):
+        P.publish("dump", staging, out, ["a.wav", "b.wav"], "d", stop_at(at, None))
+    assert P.recover(tmp_path / "s")["discovered"] == 0 and sorted(os.listdir(staging)) == ["a.wav", "b.wav"] and not (out / "d").exists()
+
+
+@pytest.mark.parametrize("kind,at,index,outcome", SWEEP)
+def test_publication_outcomes(tmp_path, kind, at, index, outcome):
+    """Published, to be tried again, or indeterminate."""
+    staging, out = staged(tmp_path)
+    run = lambda: P.publish_settled(kind, staging, out, ["a.wav", "b.wav"], "d", stop_at(at, index))
+    if outcome == "complete":
+        assert sorted(map(os.path.basename, run())) == ["a.wav", "b.wav"]
+    else:
+        with pytest.raises(IndeterminatePublication if outcome == "pending" else Stop):
+            run()
+        assert not list(out.rglob("*.wav"))
+
+
+def test_nothing_is_overwritten(tmp_path):
+    staging, out = staged(tmp_path)
+    (out / "d").mkdir(parents=True)
+    (out / "b.wav").write_bytes(b"theirs")
+    with pytest.raises(FileExistsError):
+        P.publish_settled("dump", staging, out, ["a.wav", "b.wav"], "d")
+    assert not staging.exists() and (out / "d").is_dir()
+    staging, _ = staged(tmp_path)
+    with pytest.raises(FileExistsError):
+        P.publish_settled("recall", staging, out, ["a.wav", "b.wav"])
+    assert (out / "b.wav").read_bytes() == b"theirs" and not (out / "a.wav").exists() and not staging.exists()
+
+
+def test_plain_publishers(tmp_path):
+    staging, out = staged(tmp_path)
+    assert len(P.publish_plain("recall", staging, out, ["a.wav", "b.wav"])) == 2 and not staging.exists()
+    staging, _ = staged(tmp_path, ("b.wav", "c.wav"))
+    with pytest.raises(FileExistsError):
+        P.publish_plain("recall", staging, out, ["c.wav", "b.wav"])
+    assert sorted(os.listdir(out)) == ["a.wav", "b.wav"] and sorted(os.listdir(staging)) == ["b.wav", "c.wav"]
+    P.publish_plain("dump", staging, out, ["b.wav", "c.wav"], "d")
+    staging, _ = staged(tmp_path)
+    with pytest.raises(FileExistsError):
+        P.publish_plain("dump", staging, out, ["a.wav"], "d")
+
+
+def test_unknown_staging_stays(tmp_path):
+    staging, _ = staged(tmp_path)
+    (staging / "theirs").write_bytes(b"1")
+    with pytest.raises(UnidentifiedStaging):
+        P.discard(staging, P.identity(staging), ["a.wav", "b.wav"])
+    assert os.listdir(staging) == ["theirs"]
+    with pytest.raises(UnidentifiedStaging):
+        P.discard(staging, {"device": 0, "inode": 0}, ["theirs"])
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "d").mkdir()
+    with pytest.raises(CleanupError, match="cleanup also failed"):
+        P.publish_settled("dump", staging, tmp_path / "o", [], "d")
+
+
+def test_links_and_large_manifests_fail(tmp_path, monkeypatch):
+    staging, out = staged(tmp_path)
+    with pytest.raises(Stop):
+        P.publish("recall", staging, out, ["a.wav", "b.wav"], None, stop_at("recall_manifest_prepared", None))
+    at = staging / P.MANIFEST
+    at.rename(tmp_path / "elsewhere.json")
+    at.symlink_to(tmp_path / "elsewhere.json")
+    assert P.recover(tmp_path / "s")["failed"] == 1
+    at.unlink()
+    (tmp_path / "elsewhere.json").rename(at)
+    monkeypatch.setattr(P, "MANIFEST_BYTES", 10)
+    found = P.recover(tmp_path / "s")
+    assert found["failed"] == 1 and "over 10 bytes" in found["issues"][0]["reason"]
+    assert P.merge_summaries(found, found)["failed"] == 2 and len(P.merge_summaries(found, found)["issues"]) == 2
 
 
 def test_foreign_files_stay(tmp_path):
@@ -64,12 +180,8 @@ def test_foreign_files_stay(tmp_path):
     staging.mkdir(parents=True)
     (staging / "a.wav").write_bytes(b"1")
 
-    def stop(point):
-        if point == "prepared":
-            raise Stop
-
     with pytest.raises(Stop):
-        P.publish("recall", staging, out, ["a.wav"], None, stop)
+        P.publish("recall", staging, out, ["a.wav"], None, stop_at("recall_manifest_prepared", None))
     (staging / "foreign").write_bytes(b"2")
     assert P.recover(tmp_path / "s")["pending"] == 1
     assert (staging / "foreign").exists()
@@ -89,61 +201,6 @@ def test_manifest_rules(spark, tmp_path):
     assert P.recover(tmp_path / "s")["failed"] == 5
 
 
-def test_session(spark, tmp_path):
-    s = Session(spark, str(tmp_path / "in"), str(tmp_path / "out"), 2, 100, 4, 4, names=["mic", "gtr"])
-    assert s.push(np.arange(16) / 32) == {"enqueued": 8, "dropped": 0}
-    first = s.recall()
-    assert (first["kind"], first["frames"], len(first["files"])) == ("written", 8, 2)
-    assert s.recall()["kind"] == "no_new_audio"
-    s.push(np.zeros(8))
-    assert s.dump("d1")["kind"] == "skipped_silent"
-    s.push(np.ones(4))
-    assert s.dump("d2")["frames"] == 2 and (tmp_path / "out" / "d2" / "mic.wav").exists()
-    s.push(np.ones(4))
-    with pytest.raises(Exception, match="exist|Exist"):
-        s.dump("d2")
-    assert s.status()["frozen_pending"]
-    assert s.dump("d3")["frames"] == 2
-    assert json.loads(respond(s, '{"command": "status"}'))["status"]["head"] == 16
-    assert s.clear() == {"kind": "cleared"}
-    s.push(np.ones(4))
-    assert s.snapshot(16, 18).count() == 4
-    with pytest.raises(Busy):
-        s.snapshot(16, 17)
-    with pytest.raises(Busy):
-        s.reset()
-    s.release()
-    with pytest.raises(ValueError):
-        s.snapshot(3, 18)
-    s.clear("c1")
-    s.push(np.ones(4))
-    s.clear("c1")  # a repeat: nothing more is cleared
-    assert s.recall()["cleared_frames"] == 2
-    s.reset()
-    assert s.status()["head"] == 0
-    s.stop()
-    with pytest.raises(Busy):
-        s.recall()
-
-
-def test_lane_is_bounded():
-    import threading
-
-    gate, lane = threading.Event(), OperationLane(1)
-    running = lane.submit(gate.wait)
-    while lane.jobs.qsize():
-        pass
-    waiting = lane.submit(int)
-    with pytest.raises(Busy):
-        lane.submit(int)
-    lane.closed = True
-    gate.set()
-    running.result()
-    with pytest.raises(Busy, match="shutting down"):
-        waiting.result()
-    lane.close()
-
-
 def test_scans(spark, tmp_path):
     data = np.array([99, 99, 1, 2, 3, 4, 88, 88], "<f4").tobytes()
     rows = [(1, data, 8, 16, 8, 2), (2, data, 8, 16, 4, 2), (3, data, 8, 999, 8, 2), (4, data, 24, 16, 8, 2), (5, data, 2, 16, 8, 2), (6, data, 0, 8, 0, 0)]

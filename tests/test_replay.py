@@ -41,6 +41,12 @@ def test_failures():
         if got := c.step(op, n, True, bool(bad), (2, 8, 1 << 20, 2)):
             out.append(got)
     assert out[-1] == ("no_new_audio", None, None, 0, 5, 0)
+    c, out = R.Coordinator(), []
+    for op, n, bad in [("push", 8, 0), ("dump", 0, 1), ("push", 3, 0), ("clear", 0, 0), ("recall", 0, 0)]:
+        if got := c.step(op, n, True, bool(bad), geometry):
+            out.append(got)
+    # Four frames were lost before the range that was given up.
+    assert out == [("error", 4, 8, 0, 0, 0), ("cleared", None, None, 0, 0, 0), ("no_new_audio", None, None, 4, 7, 0)]
 
 
 def random_log(seed: int, sessions: int = 30, length: int = 60):
