@@ -19,6 +19,15 @@ def channel_of(samples: Column, channel: int, channels: int) -> Column:
     return F.transform(F.filter(samples, lambda s, i: F.pmod(i, F.lit(channels)) == channel), lambda s: s)
 
 
+def capped_copy(samples: Column, first: int, frames: int, capacity: int, channels: int) -> Column:
+    """Frames [first, first + frames) of a frame-major array, as many as the capacity (in samples, whole frames) has room for."""
+    if capacity % channels:
+        raise ValueError("capacity must be whole frames")
+    room = min(frames, capacity // channels)
+    inside = F.size(samples) >= (first + frames) * channels
+    return F.when(inside, F.slice(samples, first * channels + 1, room * channels)).otherwise(F.raise_error(F.lit("the range is not retained")).cast("array<float>"))
+
+
 def interleave(*buffers: Column) -> Column:
     """Frame-major array of equally long channel arrays; raises if they aren't."""
     if not buffers:

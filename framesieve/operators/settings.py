@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from framesieve.functions.scalar import first_failure
 
+# The texts of rules, and the order in which rules are tried.
+
 _say = F.lit
 
 
@@ -93,15 +95,18 @@ def matches(target: Column) -> Column:
 def resolve(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request (request, target): the node's id, or the error.
 
-    With a target the first matching node, which must be a source; without one
-    the first source.  First is by ``position``; min_by keeps it one aggregate.
+    With a target the first matching node (by number, name or description), which must
+    be a source; without one the first source.  First is by ``position``.  Requests meet
+    nodes by equal keys; the first source is a scalar.
     """
-    joined = requests.join(nodes, F.when(F.col("target").isNull(), input_source()).otherwise(matches(F.col("target"))), "left")
-    best = joined.groupBy("request", "target").agg(F.min_by("id", "position").alias("id"), F.min_by(input_source(), "position").alias("good"))
+    own = nodes.select("id", "position", input_source().alias("good"), F.explode(F.array_distinct(F.array(F.col("id").cast("string"), "name", "description"))).alias("key"))
+    first = nodes.where(input_source()).agg(F.min_by("id", "position")).scalar()
+    found = own.groupBy("key").agg(F.min_by("id", "position").alias("named"), F.min_by("good", "position").alias("good"))
+    best = requests.join(found, F.col("target") == F.col("key"), "left").withColumn("id", F.when(F.col("target").isNull(), first).otherwise(F.col("named")))
     error = (
         F.when(F.col("id").isNull() & F.col("target").isNull(), _say("no input source available"))
         .when(F.col("id").isNull(), _text("target ", F.col("target"), " not found"))
-        .when(~F.col("good"), _text("target ", F.col("target"), " is not an input source"))
+        .when(F.col("target").isNotNull() & ~F.col("good"), _text("target ", F.col("target"), " is not an input source"))
     )
     return best.select("request", "target", F.when(error.isNull(), F.col("id")).alias("id"), error.alias("error"))
 

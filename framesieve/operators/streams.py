@@ -21,10 +21,15 @@ def _through(w):
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def ingest(log: DataFrame, slots: int, slot_frames: int, session: str = "session", seq: str = "seq", n: str = "n_frames") -> DataFrame:
-    """Pushes with enqueued, dropped, cumulative_dropped, start_frame, end_frame (absolute, by running sum)."""
+def ingest(log: DataFrame, slots: int, slot_frames: int, session: str = "session", seq: str = "seq", n: str = "n_frames", queued: Column | int = 0) -> DataFrame:
+    """Pushes with enqueued, dropped, cumulative_dropped, start_frame, end_frame (absolute, by running sum), published_sequence (slots so far).
+
+    ``queued`` is how many slots still waited when a push came: none, if the log
+    doesn't tell.
+    """
     w = Window.partitionBy(session).orderBy(seq)
-    taken = log.withColumn("enqueued", enqueued(F.col(n), slots, slot_frames)).withColumn("dropped", F.col(n) - F.col("enqueued"))
+    taken = log.withColumn("enqueued", enqueued(F.col(n), slots, slot_frames, queued)).withColumn("dropped", F.col(n) - F.col("enqueued"))
+    taken = taken.withColumn("published_sequence", F.sum(div(F.col("enqueued") + slot_frames - 1, slot_frames)).over(_through(w)))
     return taken.withColumn("end_frame", F.sum("enqueued").over(_through(w))).withColumn("start_frame", F.col("end_frame") - F.col("enqueued")).withColumn("cumulative_dropped", F.sum("dropped").over(_through(w)))
 
 
@@ -51,9 +56,13 @@ def status(pushes: DataFrame, chunk: int, chunks: int, session: str = "session")
 
 def last_frames(frames: DataFrame, n: int, chunk: int, chunks: int, frame: str = "frame") -> DataFrame:
     """The trailing n frames, or what is retained of them: a filter, whose bound is a scalar subquery."""
+    return frames.where(F.col(frame) >= last_start(frames, n, chunk, chunks, frame))
+
+
+def last_start(frames: DataFrame, n: int, chunk: int, chunks: int, frame: str = "frame") -> Column:
+    """First of the trailing n frames, as a scalar; used twice, it is computed once."""
     head = frames.agg((F.max(frame) + 1).alias("head"))
-    bound = head.select(F.greatest(F.col("head") - n, oldest_frame(F.col("head"), chunk, chunks)))
-    return frames.where(F.col(frame) >= bound.scalar())
+    return head.select(F.greatest(F.col("head") - n, oldest_frame(F.col("head"), chunk, chunks))).scalar()
 
 
 def exact_range(frames: DataFrame, start: int, end: int, oldest: int, head: int, frame: str = "frame") -> DataFrame:
@@ -71,24 +80,34 @@ def segments(chunks: DataFrame, start: int, end: int, chunk: str = "chunk_start"
     return chunks.where((F.col(chunk) < end) & (F.col(chunk) + F.col(valid) > start)).withColumn("segment_start", lo).withColumn("segment_frames", hi - lo)
 
 
-def gaps(rows: DataFrame, start: int, end: int, first: str, count: str, width: int = 4096) -> DataFrame:
-    """(gap_start, gap_end): what segments leave uncovered of [start, end).
+def _reach(ends: DataFrame, width: int, depth: int) -> DataFrame:
+    """(b, r): for each bucket how far the earlier ones reach; buckets of buckets, so that no task sees more than ``width`` of them."""
+    if not depth:
+        return ends.select("b", F.max("hi").over(_before(Window.orderBy("b"))).alias("r"))
+    placed = ends.select("b", "hi", div(F.col("b"), width).alias("u"))
+    above = _reach(placed.groupBy(F.col("u").alias("b")).agg(F.max("hi").alias("hi")), width, depth - 1).select(F.col("b").alias("u"), F.col("r").alias("far"))
+    near = placed.withColumn("near", F.max("hi").over(_before(Window.partitionBy("u").orderBy("b"))))
+    return near.join(above, "u").select("b", F.greatest("near", "far").alias("r"))
+
+
+def gaps(rows: DataFrame, start: int | Column, end: int | Column, first: str, count: str, width: int = 4096, depth: int = 3) -> DataFrame:
+    """(gap_start, gap_end): what segments leave uncovered of [start, end); the bounds may be scalars.
 
-    Two levels instead of one global window: a bucket of ``width`` frames knows
-    its own gaps, and only one row a bucket meets in the window across buckets.
+    A bucket of ``width`` frames knows its own gaps; how far earlier buckets reach goes
+    by levels of buckets, so that the last, global level sees one row for
+    ``width`` ** (``depth`` + 1) frames.
     """
+    start, end = long(start), long(end)
     s = rows.select(F.col(first).alias("s"), (F.col(first) + F.col(count)).alias("e")).where((F.col("e") > start) & (F.col("s") < end))
     s = s.withColumn("b", div(F.col("s"), width))
     w = Window.partitionBy("b").orderBy("s", "e")
-    reach = F.max("e").over(_before(w))
-    inner = s.withColumn("r", reach).where("r < s").select(F.col("r").alias("gap_start"), F.col("s").alias("gap_end"))
+    inner = s.withColumn("r", F.max("e").over(_before(w))).where("r < s").select("b", F.col("r").alias("gap_start"), F.col("s").alias("gap_end"))
     ends = s.groupBy("b").agg(F.min("s").alias("lo"), F.max("e").alias("hi"))
-    across = Window.orderBy("b")
-    outer = ends.withColumn("r", F.coalesce(F.max("hi").over(_before(across)), long(start))).where("r < lo").select(F.col("r").alias("gap_start"), F.col("lo").alias("gap_end"))
+    far = _reach(ends, width, depth)
+    outer = ends.join(far, "b").withColumn("r", F.coalesce("r", start)).where("r < lo").select(F.col("r").alias("gap_start"), F.col("lo").alias("gap_end"))
     # A segment of an earlier bucket may reach into an inner gap.
-    longest = ends.withColumn("r", F.max("hi").over(_before(across))).select(F.col("b").alias("rb"), "r")
-    inner = inner.join(longest, div(F.col("gap_end"), width) == F.col("rb"), "left").withColumn("gap_start", F.greatest("gap_start", F.coalesce("r", F.col("gap_start")))).where("gap_start < gap_end").select("gap_start", "gap_end")
-    tail = ends.agg(F.coalesce(F.max("hi"), long(start)).alias("gap_start")).withColumn("gap_end", long(end)).where("gap_start < gap_end")
+    inner = inner.join(far, "b").withColumn("gap_start", F.greatest("gap_start", F.coalesce("r", F.col("gap_start")))).where("gap_start < gap_end").select("gap_start", "gap_end")
+    tail = ends.agg(F.coalesce(F.max("hi"), start).alias("gap_start")).withColumn("gap_end", end).where("gap_start < gap_end")
     return inner.unionByName(outer).unionByName(tail)
 
 

@@ -128,6 +128,14 @@ def ingress_unconsumed(spark, d):
     return rest.groupBy("session").agg(F.count("*").alias("pushes"), F.sum(S.enqueued(F.col("n_frames"), SLOTS, SLOT_FRAMES)).alias("frames"))
 
 
+@query("ingress_queue_fill", f"""WITH {_LOG}, t AS (SELECT *, seq % 7 AS queued, least(n_frames, greatest(5 - seq % 7, 0) * 8) AS enqueued FROM log WHERE op='push')
+SELECT session, seq, enqueued, n_frames - enqueued AS dropped, CAST(sum((enqueued + 7) // 8) OVER w AS BIGINT) AS published_sequence, CAST(sum(enqueued) OVER w AS BIGINT) AS end_frame FROM t WINDOW w AS (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
+def ingress_queue_fill(spark, d):
+    """Pushes that meet a queue with up to six of its five slots' worth still waiting."""
+    log = event_log(spark, d).where("op = 'push'")
+    return streams.ingest(log, SLOTS, SLOT_FRAMES, queued=F.col("seq") % 7).select("session", "seq", "enqueued", "dropped", "published_sequence", "end_frame")
+
+
 @query("pinned_overrun", f"WITH {_PUSHES}, h AS (SELECT session, seq, n_frames, start_frame AS head, CASE WHEN seq % 3 > 0 THEN greatest(0, start_frame // 8 - seq % 4) END AS pin FROM pushes) SELECT session, seq, CASE WHEN pin IS NULL THEN n_frames ELSE least(n_frames, greatest(0, (pin + 4) * 8 - head)) END AS accepted, n_frames - CASE WHEN pin IS NULL THEN n_frames ELSE least(n_frames, greatest(0, (pin + 4) * 8 - head)) END AS overrun FROM h")
 def pinned_overrun(spark, d):
     """Pushes against a ring in which a reader pins one of the newest chunks."""
@@ -177,9 +185,9 @@ def exact_range(spark, d):
 
 @query("capped_copy", "SELECT vec_id, len(embedding[11:30]) AS n, CAST(embedding[11] AS DOUBLE) AS first_sample, CAST(embedding[30] AS DOUBLE) AS last_sample FROM embeddings")
 def capped_copy(spark, d):
-    """Frames 5.. of a stereo block into room for 10 frames."""
-    s = F.slice("samples", 11, 20)
-    return vector_blocks(spark, d).select("vec_id", F.size(s).cast("bigint").alias("n"), s[0].cast("double").alias("first_sample"), s[19].cast("double").alias("last_sample"))
+    """Frames 5 to 24 of a stereo block into room for 10 frames."""
+    s = samples.capped_copy(F.col("samples"), 5, 20, 20, 2)
+    return vector_blocks(spark, d).select("vec_id", F.size(s).cast("bigint").alias("n"), F.get(s, F.lit(0)).cast("double").alias("first_sample"), F.get(s, F.size(s) - 1).cast("double").alias("last_sample"))
 
 
 @query("range_segments", "WITH c AS (SELECT event_id // 64 AS chunk, min(event_id) AS chunk_start, count(*) AS valid FROM events GROUP BY 1) SELECT chunk, greatest(chunk_start, 100) AS segment_start, least(chunk_start + valid, 700) - greatest(chunk_start, 100) AS segment_frames FROM c WHERE chunk_start < 700 AND chunk_start + valid > 100")
@@ -191,7 +199,7 @@ def range_segments(spark, d):
 @query("coverage_gaps", "WITH p AS (SELECT event_id AS f, lag(event_id, 1, -1) OVER (ORDER BY event_id) AS b FROM events WHERE event_type <> 'signup' UNION ALL SELECT (SELECT max(event_id) + 1 FROM events), (SELECT max(event_id) FROM events WHERE event_type <> 'signup')) SELECT b + 1 AS gap_start, f AS gap_end FROM p WHERE b + 1 < f")
 def coverage_gaps(spark, d):
     e = _t(spark, d, "events")
-    end = e.agg(F.max("event_id")).first()[0] + 1
+    end = e.agg(F.max("event_id") + 1).scalar()
     return streams.gaps(e.where("event_type <> 'signup'").select("event_id", S.long(1).alias("n")), 0, end, "event_id", "n")
 
 
@@ -251,13 +259,6 @@ def channel_stats(spark, d):
     return samples.channel_stats(_long_form(spark, d))
 
 
-@query("channel_samples", f"WITH {_LONG} SELECT channel, count(*) AS n, md5(string_agg(CAST({_Q.format(x='sample')} AS VARCHAR), ',' ORDER BY frame)) AS digest FROM longform WHERE vec_id < 50 GROUP BY 1")
-def channel_samples(spark, d):
-    """One channel's samples in time order (of the range before vector 50)."""
-    rows = _long_form(spark, d).where("vec_id < 50").groupBy("channel").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("frame", S.s24(F.col("sample")).alias("q")))).alias("x"))
-    return rows.select("channel", "n", F.md5(F.array_join(F.transform("x", lambda s: s["q"].cast("string")), ",")).alias("digest"))
-
-
 @query("channel_sample_parts", f"WITH {_LONG} SELECT channel, frame // 4096 AS part, count(*) AS n, md5(string_agg(CAST({_Q.format(x='sample')} AS VARCHAR), ',' ORDER BY frame)) AS digest FROM longform GROUP BY 1, 2")
 def channel_sample_parts(spark, d):
     """Every channel's samples in time order over the whole table, in parts of 4096 frames: what a task gathers is bounded."""
@@ -293,10 +294,8 @@ k AS (SELECT frame, sample, start, {_Q.format(x='sample')} AS q FROM frames, b W
 def wav_part_totals(spark, d):
     """Last frames of a stream, cut into parts and quantised: the flagship."""
     frames = event_frames(spark, d)
-    kept = streams.last_frames(frames, 1500, 250, 8)
-    head = frames.agg((F.max("frame") + 1).alias("head"))
-    start = head.select(F.greatest(F.col("head") - 1500, S.oldest_frame(F.col("head"), 250, 8))).scalar()
-    return samples.part_totals(kept, start, 100)
+    start = streams.last_start(frames, 1500, 250, 8)
+    return samples.part_totals(frames.where(F.col("frame") >= start), start, 100)
 
 
 @query("wav_header_fields", f"WITH {_PARTS} SELECT CAST(total AS BIGINT) AS total, CAST(split AS BIGINT) AS split, part, CAST(36 + 3 * frame_count AS BIGINT) AS riff_size, CAST(144000 AS BIGINT) AS byte_rate, CAST(3 * frame_count AS BIGINT) AS data_bytes FROM parts")
@@ -404,7 +403,28 @@ def replay_stateful(spark, d):
     return stateful.replay_fold(event_log(spark, d), CHUNK, CHUNKS, SLOTS, SLOT_FRAMES)
 
 
-@query("replay_failures")
+_FAILURES = f"""WITH RECURSIVE {_LOG},
+o AS (SELECT *, op = 'dump' AND seq % 7 = 0 AS fails, row_number() OVER (PARTITION BY session ORDER BY seq) AS rn FROM log),
+s AS (
+  SELECT DISTINCT session, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, '' AS op, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS start_frame, CAST(NULL AS BIGINT) AS end_frame, CAST(0 AS BIGINT) AS frames,
+    CAST(0 AS BIGINT) AS rl, CAST(0 AS BIGINT) AS cl, CAST(0 AS BIGINT) AS dl, CAST(0 AS BIGINT) AS head, CAST(0 AS BIGINT) AS dropped, CAST(0 AS BIGINT) AS base, CAST(0 AS BIGINT) AS mark, CAST(0 AS BIGINT) AS cur,
+    CAST(0 AS BIGINT) AS heard, CAST(0 AS BIGINT) AS pr, CAST(0 AS BIGINT) AS pc, CAST(0 AS BIGINT) AS acked, CAST(-1 AS BIGINT) AS fs, CAST(0 AS BIGINT) AS fe, false AS fz FROM log
+  UNION ALL
+  SELECT session, nrn, nseq, nop, kind, CASE WHEN kind IN ('written', 'skipped_silent', 'error') THEN xs END, CASE WHEN kind IN ('written', 'skipped_silent', 'error') THEN xe END, CASE WHEN kind IN ('written', 'skipped_silent', 'error') THEN xe - xs ELSE 0 END,
+    CASE WHEN done THEN xs - cur ELSE 0 END + CASE WHEN done OR kind = 'no_new_audio' THEN pr ELSE 0 END, CASE WHEN done OR kind = 'no_new_audio' THEN pc ELSE 0 END, CASE WHEN done OR kind = 'no_new_audio' THEN d - acked ELSE 0 END,
+    h, d, CASE WHEN nop IN ('recall', 'dump') AND fs < 0 THEN h ELSE base END, CASE WHEN nop = 'clear' THEN h ELSE mark END, CASE WHEN nop = 'clear' THEN h WHEN done THEN xe ELSE cur END, hd,
+    CASE WHEN nop = 'clear' THEN pr + CASE WHEN fs >= 0 THEN fs - cur ELSE 0 END + greatest(0, old - expected) WHEN done OR kind = 'no_new_audio' THEN 0 ELSE pr END,
+    CASE WHEN nop = 'clear' THEN pc + CASE WHEN fs >= 0 THEN fe - fs ELSE 0 END + greatest(0, h - greatest(expected, old)) WHEN done OR kind = 'no_new_audio' THEN 0 ELSE pc END,
+    CASE WHEN done OR kind = 'no_new_audio' THEN d ELSE acked END, CASE WHEN nop = 'push' THEN fs WHEN kind = 'error' THEN xs ELSE -1 END, CASE WHEN kind = 'error' THEN xe ELSE fe END, CASE WHEN kind = 'error' THEN false ELSE fz END
+  FROM (SELECT *, coalesce(kind IN ('written', 'skipped_silent'), false) AS done FROM (SELECT * EXCLUDE (kind), CASE WHEN nop = 'push' THEN NULL WHEN nop = 'clear' THEN 'cleared' WHEN fs < 0 AND xs >= h THEN 'no_new_audio' WHEN nfails AND NOT xz THEN 'error' WHEN xz THEN 'skipped_silent' ELSE 'written' END AS kind
+    FROM (SELECT *, CASE WHEN fs >= 0 THEN fe ELSE cur END AS expected, CASE WHEN fs < 0 THEN greatest(cur, old) ELSE fs END AS xs, CASE WHEN fs < 0 THEN h ELSE fe END AS xe, CASE WHEN fs < 0 THEN hd <= greatest(cur, old) ELSE fz END AS xz
+      FROM (SELECT *, greatest(base + CASE WHEN h > base THEN greatest(0, ((h - base - 1) // 8 - 4 + 1) * 8) ELSE 0 END, mark) AS old
+        FROM (SELECT s.*, o.rn AS nrn, o.seq AS nseq, o.op AS nop, o.fails AS nfails, s.head + CASE WHEN o.op = 'push' THEN least(o.n_frames, 40) ELSE 0 END AS h, s.dropped + CASE WHEN o.op = 'push' THEN greatest(0, o.n_frames - 40) ELSE 0 END AS d,
+          CASE WHEN o.op = 'push' AND o.sound AND o.n_frames > 0 THEN s.head + least(o.n_frames, 40) ELSE s.heard END AS hd FROM s JOIN o ON o.session = s.session AND o.rn = s.rn + 1)))))
+) SELECT session, seq, op, kind, start_frame, end_frame, frames, rl AS retention_lost, cl AS cleared_lost, dl AS dropped_lost FROM s WHERE kind IS NOT NULL"""
+
+
+@query("replay_failures", _FAILURES)
 def replay_failures(spark, d):
     """Every seventh dump fails once; its range is kept and published by the next persist."""
     log = event_log(spark, d).withColumn("fails", (F.col("op") == "dump") & (F.col("seq") % 7 == 0))
@@ -434,11 +454,16 @@ def raw_buffer_scan(spark, d):
     return scans.raw_buffers(rows).select("id", F.when(F.col("error").isNull(), F.size("samples").cast("bigint")).alias("n"), F.when(F.col("error").isNull(), total).alias("total"), "error")
 
 
-@query("signal_frames")
+@query("signal_frames", """WITH RECURSIVE a(k, v) AS (SELECT 0, 0::FLOAT UNION ALL SELECT k + 1, v + 0.001::FLOAT FROM a WHERE v + 0.001::FLOAT <= 1),
+b(k, v) AS (SELECT 0, (-1)::FLOAT UNION ALL SELECT k + 1, v + 0.001::FLOAT FROM b WHERE v + 0.001::FLOAT <= 1),
+n AS (SELECT (SELECT count(*) FROM a) AS first, (SELECT count(*) FROM b) AS period),
+k AS (SELECT event_id AS frame, c, event_id * 2 + c AS pos FROM events, range(0, 2) r(c)),
+x AS (SELECT frame, c, CAST(coalesce(a.v, b.v) AS DOUBLE) AS v FROM k CROSS JOIN n LEFT JOIN a ON pos < first AND a.k = pos LEFT JOIN b ON pos >= first AND b.k = (pos - first) % period)
+SELECT frame, max(v) FILTER (WHERE c = 0) AS left_sample, max(v) FILTER (WHERE c = 1) AS right_sample FROM x GROUP BY 1""")
 def signal_frames(spark, d):
     """The deterministic stereo test signal, one frame an event."""
-    n = _t(spark, d, "events").count()
-    return scans.test_signal(spark, n, 2).select("frame", F.col("samples")[0].cast("double").alias("left_sample"), F.col("samples")[1].cast("double").alias("right_sample"))
+    x = scans.signal_samples(F.col("event_id"), 2)
+    return _t(spark, d, "events").select(F.col("event_id").alias("frame"), x[0].cast("double").alias("left_sample"), x[1].cast("double").alias("right_sample"))
 
 
 # --- memory plan -------------------------------------------------------------------------------
@@ -594,6 +619,65 @@ def active_profile(spark, d):
     return settings.active_profile(req, profiles).select("request", "profile", "error")
 
 
+_PROFILES = """CASE WHEN k % 11 = 0 THEN NULL WHEN k % 11 = 1 THEN 'alsa' WHEN k % 2 = 0 THEN 'jack' ELSE 'pipewire' END AS backend, CASE WHEN k % 13 = 0 THEN '  ' WHEN k % 13 = 1 THEN NULL ELSE c_name END AS client_name,
+ CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 3 ELSE 1 END AS n_ports, CASE WHEN k % 5 IN (2, 3) AND k % 3 > 0 THEN 1 ELSE 0 END AS n_sources, k % 17 = 0 AS blank, CASE WHEN k % 19 = 0 THEN 0 WHEN k % 19 = 1 THEN NULL ELSE 5 END AS seconds,
+ CASE WHEN k % 23 = 0 THEN 'takes' WHEN k % 23 = 1 THEN NULL ELSE '/takes' END AS output_dir, CASE WHEN k % 29 = 0 THEN 'mixed' ELSE 'per-channel' END AS export_mode, CASE WHEN k % 31 = 0 THEN 'flac' ELSE 'wav' END AS export_format"""
+
+
+@query("profile_rules", f"""WITH p AS (SELECT k, {_PROFILES} FROM (SELECT c_custkey AS k, c_name FROM customer)),
+e AS (SELECT k, CASE WHEN backend IS NULL OR backend = 'alsa' THEN 'backend must be jack or pipewire'
+ WHEN backend = 'jack' AND trim(coalesce(client_name, '')) = '' THEN 'clientName is required'
+ WHEN backend = 'jack' AND n_ports > 0 AND n_sources > 0 THEN 'ports and sources are exclusive'
+ WHEN backend = 'jack' AND blank AND n_ports + n_sources > 0 THEN 'a port source must be non-empty'
+ WHEN backend = 'jack' AND n_ports + n_sources = 0 THEN 'ports or sources are required'
+ WHEN coalesce(seconds, 0) = 0 THEN 'buffer.seconds must be > 0' WHEN output_dir IS NULL OR output_dir = 'takes' THEN 'outputDir must be absolute'
+ WHEN export_mode = 'mixed' THEN 'export.mode must be per-channel' WHEN export_format = 'flac' THEN 'export.format must be wav' END AS error FROM p) SELECT error, count(*) AS n, min(k) AS first_id FROM e GROUP BY 1""")
+def profile_rules(spark, d):
+    """First broken rule of a profile a customer."""
+    rows = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name").selectExpr("k", *_split_columns(_PROFILES))
+    source = F.when(F.col("blank"), F.lit(" ")).otherwise(F.lit("system:1"))
+    rows = rows.withColumn("ports", F.array_repeat(source, F.col("n_ports"))).withColumn("sources", F.array_repeat(source, F.col("n_sources")))
+    return rows.select("k", settings.profile_error().alias("error")).groupBy("error").agg(F.count("*").alias("n"), F.min("k").alias("first_id"))
+
+
+def _split_columns(text: str) -> list[str]:
+    """Top-level items of a SELECT list."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+@query("app_rules", "SELECT mode, CASE WHEN coalesce(mode, 'manual') NOT IN ('manual', 'auto') THEN 'startMode must be manual or auto, not ' || mode END AS error, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'auto' WHEN 'O' THEN 'manual' WHEN 'P' THEN NULL ELSE 'later' END AS mode FROM orders UNION ALL SELECT lower(n_name) FROM nation) GROUP BY 1")
+def app_rules(spark, d):
+    mode = F.when(F.col("o_orderstatus") == "F", "auto").when(F.col("o_orderstatus") == "O", "manual").when(F.col("o_orderstatus") == "P", F.lit(None).cast("string")).otherwise("later")
+    rows = _t(spark, d, "orders").select(mode.alias("start_mode")).union(_t(spark, d, "nation").select(F.lower("n_name")))
+    return rows.select(F.col("start_mode").alias("mode"), settings.app_error().alias("error")).groupBy("mode", "error").agg(F.count("*").alias("n"))
+
+
+@query("manifest_first_error", """SELECT p_partkey AS id, CASE WHEN p_partkey % 17 = 0 THEN 'fields' WHEN p_partkey % 13 = 0 THEN 'version' WHEN p_partkey % 11 = 0 THEN 'uid' WHEN p_partkey % 7 = 0 THEN 'kind' WHEN p_partkey % 5 = 0 THEN 'entries'
+ WHEN p_partkey % 4 = 3 THEN 'phase' WHEN p_partkey % 4 = 2 THEN 'index' WHEN p_partkey % 3 = 0 THEN 'traversal' WHEN p_partkey % 19 = 0 THEN 'twice' END AS error FROM part""")
+def manifest_first_error(spark, d):
+    """A manifest a part, with a rule broken here and there."""
+    k = F.col("p_partkey")
+    artifact = lambda path: F.struct(path.alias("path"), F.struct(F.lit(1).alias("device"), k.alias("inode")).alias("identity"))
+    final = F.when(k % 3 == 0, F.concat(F.lit("/out/../"), "p_name")).otherwise(F.concat(F.lit("/out/"), "p_name"))
+    entry = lambda path: F.struct(artifact(F.lit("/staging/t/a.wav")).alias("staged"), artifact(F.lit("/out/a.partial")).alias("partial"), artifact(path).alias("final_path"))
+    entries = F.to_json(F.array(entry(final), entry(F.when(k % 19 == 0, final).otherwise(F.concat(final, F.lit("2"))))))
+    phase = F.to_json(F.struct(F.when(k % 4 == 3, "unknown").when(k % 4 == 2, "publishing").otherwise("prepared").alias("state"), F.when(k % 4 == 2, 9).otherwise(0).alias("index")))
+    extra = F.when(k % 17 == 0, F.lit(', "more": 1')).otherwise(F.lit(""))
+    text = F.concat(
+        F.lit('{"version": '), F.when(k % 13 == 0, "2").otherwise("1"), F.lit(', "uid": '), F.when(k % 11 == 0, "8").otherwise("7"), F.lit(', "transaction_id": "t", "kind": "'), F.when(k % 7 == 0, "move").otherwise("recall"),
+        F.lit('", "phase": '), phase, F.lit(', "staging_root": {"path": "/staging/t"}, "output_root": "/out", "final_directory": null, "entries": '), F.when(k % 5 == 0, F.lit("[]")).otherwise(entries), extra, F.lit("}"),
+    )
+    table = publish.manifest_rows(_t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), text.alias("value")))
+    return publish.manifest_rules(table, 7).select(F.col("path").cast("bigint").alias("id"), "error")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -52,17 +52,22 @@ def _saw(start: float) -> list[float]:
     return ramp[: int(np.argmax(ramp > 1.0)) + 1].tolist()[:-1]
 
 
-def test_signal(spark: SparkSession, frames: int, channels: int = 1) -> DataFrame:
-    """(frame, samples): a saw that starts at 0 and falls to -1 after exceeding 1, one step a sample.
+def signal_samples(frame: Column, channels: int = 1) -> Column:
+    """Samples of a frame of the test signal: a saw that starts at 0 and falls to -1 after exceeding 1, one step a sample.
 
     The ramp repeats, so sample k is a look-up in one period: any partition can
     make its frames alone.
     """
     first, period = _saw(0.0), _saw(-1.0)
     ramp = lambda xs: F.lit(np.array(xs, np.float32)).cast("array<float>")
-    k = lambda c: F.col("id") * channels + c
+    k = lambda c: frame * channels + c
     value = lambda c: F.when(k(c) < len(first), F.get(ramp(first), k(c).cast("int"))).otherwise(F.get(ramp(period), F.pmod(k(c) - len(first), F.lit(len(period)).cast("bigint")).cast("int")))
-    return spark.range(frames).select(F.col("id").alias("frame"), F.array(*(value(c) for c in range(channels))).alias("samples"))
+    return F.array(*(value(c) for c in range(channels)))
+
+
+def test_signal(spark: SparkSession, frames: int, channels: int = 1) -> DataFrame:
+    """(frame, samples) of the test signal."""
+    return spark.range(frames).select(F.col("id").alias("frame"), signal_samples(F.col("id"), channels).alias("samples"))
 
 
 _WAV = "path string, channels int, sample_rate int, bits int, data_bytes long, samples array<int>"
