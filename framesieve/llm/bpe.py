@@ -12,7 +12,8 @@ Bounds: texts are taken in slices of ``SLICE`` characters (one document at
 least), and the table of known pre-tokens is emptied at ``KNOWN`` entries.
 
 Edge cases: a null text counts as empty (no ids; decoded to ""); repeated rows
-are encoded one by one; ids in another table's rows may be null (decoded "").
+are encoded one by one; ids in another table's rows may be null (decoded ""); an
+empty table gives an empty one.  A column of the result replaces one of its name.
 """
 
 from __future__ import annotations

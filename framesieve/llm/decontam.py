@@ -71,7 +71,7 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     n = len(h) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, np.uint64(int("1" + mask, 2)) * _MULTIPLIER, np.uint64)
+    out = np.full(n, int("1" + mask, 2) * int(_MULTIPLIER) % (1 << 64), np.uint64)
     for i, c in enumerate(mask):
         if c == "1":
             out = (out + h[i : i + n]) * _MULTIPLIER

@@ -123,5 +123,22 @@ FROM d LEFT JOIN sums USING (doc_id)
 """
 
 
+#: Every alignment of every item, by equal words; n words of an item have to meet, ``need`` of them equal.
+_OP9 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{license.WORD}') AS w FROM documents),
+i AS (SELECT item_id, len(q) AS size, least(len(q), {decontam.WINDOW}) AS n, CAST(ceil({decontam.SIMILARITY} * least(len(q), {decontam.WINDOW}) - 1e-9) AS BIGINT) AS need, q FROM (SELECT item_id, regexp_extract_all(lower(text), '{license.WORD}') AS q FROM benchmark) WHERE len(q) > 0),
+dw AS (SELECT doc_id, len(w) AS words, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
+iw AS (SELECT item_id, size, n, need, unnest(q) AS word, generate_subscripts(q, 1) - 1 AS k FROM i),
+m AS (SELECT doc_id, words, item_id, size, n, need, p - k AS g, list(k) AS ks FROM dw JOIN iw USING (word) GROUP BY ALL HAVING count(*) >= need),
+j AS (SELECT *, unnest(range(0, size - n + 1)) AS a FROM m),
+good AS (SELECT * FROM j WHERE g + a >= 0 AND g + a + n <= words AND len(list_filter(ks, lambda x: x >= a AND x < a + n)) >= need),
+ends AS (SELECT doc_id, item_id, g, ks, min(a) AS lo, max(a) + n AS hi FROM good GROUP BY doc_id, item_id, g, n, ks),
+spans AS (SELECT doc_id, item_id, g + lo AS start, g + hi AS stop, len(list_filter(ks, lambda x: x >= lo AND x < hi)) AS matching FROM ends),
+marked AS (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY doc_id, item_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS first FROM spans),
+runs AS (SELECT *, sum(first) OVER (PARTITION BY doc_id, item_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM marked)
+SELECT doc_id, item_id, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop, CAST(max(matching) AS BIGINT) AS matching FROM runs GROUP BY doc_id, item_id, run
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op6_license": _op6()}
+    return {"op9_decontamination": _OP9, "op3_substring_dedup": _OP3, "op6_license": _op6()}

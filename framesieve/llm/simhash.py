@@ -21,7 +21,8 @@ that leaves stay small; any number of levels finds the same links.
 Components are those of fingerprints.  Edge cases: no words give fingerprint 0,
 linked like any other.  A null doc_id joins its neighbours like any other row but
 names no component (a component without any id is named null); rows that
-share a doc_id are members one by one, whatever their texts.
+share a doc_id are members one by one, whatever their texts; an empty table gives
+an empty one.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ without any pair leave with their length as count.  No string is built.
 
 Edge cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows are
 counted one by one; special strings inside a text count as one token each, as
-the tokenizers library does by default.
+the tokenizers library does by default; an empty table gives an empty one.  Only the
+id and the text are read: other columns can have any name.
 """
 
 from __future__ import annotations

@@ -136,6 +136,21 @@ def test_token_counts(spark, texts, library):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 512)
 
 
+@pytest.mark.parametrize("limit", [700, 10**9])
+def test_texts_over_a_slice(spark, library, monkeypatch, limit):
+    """Texts longer than a slice, clashing columns, empty tables."""
+    monkeypatch.setattr(bpe, "SLICE", limit)
+    monkeypatch.setattr(tokcount, "SLICE", limit)
+    cases = ["word " * 3000, "", "x" * 2500, "é😀 " * 900, "a"]
+    df = spark.createDataFrame([*enumerate(cases), (None, "lost")], TEXTS).withColumns({c: F.lit("clash") for c in ("n_tokens", "n_bytes", "over_limit", "token_ids", "decoded")})
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in [*enumerate(cases), (None, "lost")]}
+    assert {r.doc_id: r.n_tokens for r in tokcount.token_counts(df).collect()} == want
+    both = {r.doc_id: (len(r.token_ids), r.decoded) for r in bpe.encode(df, decoded="decoded").collect()}
+    assert both == {i: (want[i], t) for i, t in [*enumerate(cases), (None, "lost")]}
+    empty = df.limit(0)
+    assert tokcount.token_counts(empty).collect() == bpe.encode(empty).collect() == bpe.decode(bpe.encode(empty)).collect() == []
+
+
 def test_bounded_tables_change_nothing(texts):
     v = vocabulary.unpacked(vocabulary.packed(None))
     whole = bpe.TrieEncoder(v)
@@ -581,6 +596,16 @@ def test_decontamination_cases(spark, monkeypatch, limit):
     assert decontam.without_overlaps(df, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    want = con.execute(queries.oracle_sql()["op9_decontamination"]).fetchall()
+    assert sorted(tuple(r) for r in queries.op9_decontamination(spark, SF).collect()) == sorted(want) and want
+
+
 def test_repetitive_texts_give_one_span(spark):
     text, item = "one two three four " * 10_000, "one two three four " * 10
     df, bench = spark.createDataFrame([(1, text)], TEXTS), spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -605,6 +630,8 @@ def test_language_edges(spark, docs):
     df = spark.createDataFrame(odd, TEXTS).withColumn("score", F.lit("clash"))
     got = sorted((r.row.doc_id or 0, r.lang_pred, r.row.score) for r in langid.predict(df, model).collect())
     assert got == [(0, "de", "clash"), (1, "und", "clash"), (2, "und", "clash"), (3, "und", "clash"), (4, "en", "clash"), (4, "en", "clash")]
+    tie = langid.Classifier(["aa", "bb"], np.zeros((langid.BINS, 2), np.float32), np.zeros(2), np.zeros((2, langid.BINS), bool))
+    assert tie.predict(["some text"])[0] == ["aa"] and langid.predict(df.limit(0), model).collect() == []
     empty = langid.train(docs.limit(0))
     assert empty.languages == [] and {r.lang_pred for r in langid.predict(df, empty).collect()} == {"und"}
 
