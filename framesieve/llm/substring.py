@@ -1,17 +1,19 @@
 """Exact removal of repeated passages: windows of 50 words that an earlier document has.
 
-1. Each map task hashes every window of its documents (Rabin-Karp polynomial,
-   modulo 2^64, from prefix sums) in flushes of ``FLUSH`` words.  Within a flush a
+1. Each map task hashes every window of its documents (Rabin-Karp polynomials of two
+   bases, modulo 2^64, from prefix sums: all bits of one and the top 8 of the
+   other) in flushes of ``FLUSH`` words.  Within a flush a
    window whose hash has a smaller doc_id is settled at once, so that a passage
    of many documents is sent once a flush: the map-side combine.
-2. The rest goes to hash buckets as packed arrays: per window 7 bytes of hash
+2. The rest goes to hash buckets as packed arrays: per window 8 bytes of hash
    (the bucket holds the others) and about 2 of position.  A bucket finds the
    smallest doc_id of each hash and answers with the windows of larger ones.
 3. The answers, packed by document, meet the texts; overlapping windows merge
    into maximal removal intervals.
 
-Two different windows count as equal if their 64-bit hashes agree: expected
-for w windows are w^2 / 2^65 such pairs (under 0.001 for 10^8 windows).
+Two different windows count as equal if their 72 bits of hash agree: expected
+for w windows are w^2 / 2^73 such pairs (10^-6 for 10^8 windows, 0.003 for the
+5 x 10^9 of some 30 GB).
 
 Edge cases: a null text has no words.  Rows that share a doc_id don't remove
 each other's words.  A row without doc_id is kept whole and removes nothing.  An
@@ -27,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesieve.llm.common import planned_bytes, ship, shuffle_partitions
+from framesieve.llm.common import planned_bytes, ship, shuffle_partitions, trimmed
 
 WINDOW = 50
 FLUSH = 1_200_000
 BUCKET = 16 << 20
 WORDS = 150_000
 BASE = 0x9E3779B97F4A7C15 | 1
+SECOND = 0xC2B2AE3D27D4EB4F | 1
 
 PACKED = "part int, settled boolean, docs binary, signs binary, runs binary, at binary, more binary"
 
@@ -98,8 +101,8 @@ def prime_from(n: int) -> int:
     return n
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+def _powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -116,17 +119,17 @@ def window_hashes(words: np.ndarray, window: int, powers: tuple[np.ndarray, np.n
     return h ^ (h >> np.uint64(33))
 
 
-def _flush(ids: list[int], own: list[int], hashes: list[np.ndarray], buckets: int, width: int):
+def _flush(ids: list[int], own: list[int], hashes: list[np.ndarray], seconds: list[np.ndarray], buckets: int):
     lengths = np.fromiter(map(len, hashes), np.int64, len(hashes))
     if not lengths.sum():
         return
-    h = np.concatenate(hashes)
+    h, second = np.concatenate(hashes), np.concatenate(seconds)
     docs = np.repeat(np.array(ids, np.int64), lengths)
     signs = np.repeat(np.array(own, np.uint32), lengths)
     at = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     order = np.argsort(h, kind="stable")
-    sorted_h = h[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_h[1:] != sorted_h[:-1])))
+    sorted_h, sorted_second = h[order], second[order]
+    first = np.flatnonzero(np.concatenate(([True], (sorted_h[1:] != sorted_h[:-1]) | (sorted_second[1:] != sorted_second[:-1]))))
     least = np.minimum.reduceat(docs[order], first)
     settled = np.zeros(len(h), bool)
     settled[order] = docs[order] > np.repeat(least, np.diff(np.append(first, len(h))))
@@ -135,13 +138,13 @@ def _flush(ids: list[int], own: list[int], hashes: list[np.ndarray], buckets: in
         start = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (g[1:] != g[:-1]) | (a[1:] != a[:-1] + 1))))
         yield from _answers(d[start], g[start], a[start], np.diff(np.append(start, len(d))), buckets)
     keep = ~settled
-    h, docs, signs, at = h[keep], docs[keep], signs[keep], at[keep]
+    h, second, docs, signs, at = h[keep], second[keep], docs[keep], signs[keep], at[keep]
     bucket = (h % np.uint64(buckets)).astype(np.uint32)
     order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-    bucket, docs, signs, at, rest = bucket[order], docs[order], signs[order], at[order], (h // np.uint64(buckets))[order]
+    bucket, docs, signs, at, rest = bucket[order], docs[order], signs[order], at[order], ((h // np.uint64(buckets)) | second.astype(np.uint64) << np.uint64(56))[order]
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(h) else [0]
     for a, b in zip(edge[:-1], edge[1:], strict=True):
-        yield int(bucket[a]), False, *_pack(docs[a:b], signs[a:b], at[a:b]), rest[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        yield int(bucket[a]), False, *_pack(docs[a:b], signs[a:b], at[a:b]), rest[a:b].astype("<u8").tobytes()
 
 
 def _answers(docs: np.ndarray, signs: np.ndarray, at: np.ndarray, counts: np.ndarray, parts: int):
@@ -162,10 +165,10 @@ def _rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_COLUMNS)
 
 
-def _hash_windows(window: int, buckets: int, width: int):
+def _hash_windows(window: int, buckets: int):
     def run(batches):
-        powers, known = _powers(FLUSH), WordHashes()
-        ids, signs, hashes, held = [], [], [], 0
+        powers, other, known = _powers(FLUSH), _powers(FLUSH, SECOND), WordHashes()
+        ids, signs, hashes, seconds, held = [], [], [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
@@ -174,25 +177,26 @@ def _hash_windows(window: int, buckets: int, width: int):
                 raw = text.encode()
                 words = known.of(raw.split())
                 if len(words) > len(powers[0]):
-                    powers = _powers(len(words))
+                    powers, other = _powers(len(words)), _powers(len(words), SECOND)
                 found = window_hashes(words, window, powers)
                 if not len(found):
                     continue
                 if held and held + len(found) > FLUSH:
-                    if rows := list(_flush(ids, signs, hashes, buckets, width)):
+                    if rows := list(_flush(ids, signs, hashes, seconds, buckets)):
                         yield _rows(rows)
-                    ids, signs, hashes, held = [], [], [], 0
+                    ids, signs, hashes, seconds, held = [], [], [], [], 0
                 ids.append(doc)
                 signs.append(xxhash.xxh32_intdigest(raw))
                 hashes.append(found)
+                seconds.append((window_hashes(words, window, other) >> np.uint64(56)).astype(np.uint8))
                 held += len(found)
-        if rows := list(_flush(ids, signs, hashes, buckets, width)):
+        if rows := list(_flush(ids, signs, hashes, seconds, buckets)):
             yield _rows(rows)
 
     return run
 
 
-def _judge(buckets: int, width: int):
+def _judge(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         out, docs, signs, at, keys = [], [], [], [], []
         for row in table.to_pylist():
@@ -200,12 +204,10 @@ def _judge(buckets: int, width: int):
                 out.append(tuple(row[c] for c in _COLUMNS))
                 continue
             d, g, a = _unpack(row["docs"], row["signs"], row["runs"], row["at"])
-            key = np.zeros((len(d), 8), np.uint8)
-            key[:, :width] = np.frombuffer(row["more"], np.uint8).reshape(-1, width)
             docs.append(d)
             signs.append(g)
             at.append(a)
-            keys.append(key.reshape(-1).view("<u8"))
+            keys.append(np.frombuffer(row["more"], "<u8"))
         if docs:
             d, g, a, k = (np.concatenate(x) for x in (docs, signs, at, keys))
             order = np.argsort(k, kind="stable")
@@ -260,10 +262,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ship(spark)
     # So many buckets that what one holds stays small, by partitions and by the table's size.
     buckets = prime_from(max(256, 8 * shuffle_partitions(spark), planned_bytes(docs) // BUCKET))
-    width = 7
     texts = docs.select(docs[f"`{id_col}`"].cast("bigint").alias(id_col), docs[f"`{text}`"].alias("_fs_text"))
-    windows = texts.mapInArrow(_hash_windows(window, buckets, width), PACKED)
-    answers = windows.groupBy("part").applyInArrow(_judge(buckets, width), PACKED)
+    windows = texts.mapInArrow(trimmed(_hash_windows(window, buckets)), PACKED)
+    answers = windows.groupBy("part").applyInArrow(_judge(buckets), PACKED)
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType())])
     left = texts.withColumn("part", F.pmod(F.coalesce(F.col(id_col), F.xxhash64("_fs_text")), F.lit(buckets)).cast("int"))
     return left.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_cut(window, id_col), schema)
