@@ -9,7 +9,8 @@ state from node to child, and a shared prefix is computed once.  An encoding is
 then read backwards from its leaf.
 
 Bounds: texts are taken in slices of ``SLICE`` characters (one document at
-least), and the table of known pre-tokens is emptied at ``KNOWN`` entries.
+least).  Known pre-tokens are kept in two tables of ``KNOWN`` entries each: when the newer
+one is full it becomes the older one, and what is met again moves on from there.
 
 Edge cases: a null text counts as empty (no ids; decoded to ""); repeated rows
 are encoded one by one; ids in another table's rows may be null (decoded ""); an
@@ -66,12 +67,11 @@ class TrieEncoder:
             _, left, right = made[t]
             ok[t] = ok[left] and ok[right] and self._apart(left, right, before=rank[t])
         self._suffix_automaton({b: t for b, t in vocab.ids.items() if ok[t]})
-        self.known: dict[str, bytes] = {}
-        self.reset()
+        self.old: dict[str, bytes] = {}
+        self.known = self.special()
 
-    def reset(self) -> None:
-        self.known.clear()
-        self.known.update({s: array("i", [i]).tobytes() for s, i in self.vocab.special.items()})
+    def special(self) -> dict[str, bytes]:
+        return {s: array("i", [i]).tobytes() for s, i in self.vocab.special.items()}
 
     def _suffix_automaton(self, ids: dict[bytes, int]) -> None:
         """States are prefixes of tokens; ``ends[state]`` has the tokens that end there, longest first."""
@@ -176,9 +176,11 @@ class TrieEncoder:
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.known)
         if len(self.known) + len(new) > KNOWN:
-            self.reset()
+            self.old, self.known = self.known, self.special()
             new = words.difference(self.known)
-        by_bytes = {w.encode(): w for w in new}
+        again = new.intersection(self.old)
+        self.known.update((w, self.old[w]) for w in again)
+        by_bytes = {w.encode(): w for w in new - again}
         order = sorted(by_bytes)
         for b, ids in zip(order, self.encode(order), strict=True):
             self.known[by_bytes[b]] = ids
