@@ -19,6 +19,11 @@ def _signature(links: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _least(links: DataFrame) -> DataFrame:
+    """(a, m): the smallest b of each a.  Grouped by more than a, so that a join by a deals its other side anew and may split a hot hub."""
+    return links.groupBy("a", F.xxhash64("a").alias("_fs_h")).agg(F.min("b").alias("m")).select("a", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """From links (a, b) to (a, b) with b the smallest member of a's component, for each a that isn't itself smallest.
 
@@ -29,11 +34,11 @@ def components(links: DataFrame) -> DataFrame:
     seen = _signature(now)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = _least(both).select("a", F.least("a", "m").alias("m"))
         # Large star: larger neighbours of a node move to its smallest one.
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: smaller neighbours and the node itself move to the smallest.
-        first = large.groupBy("a").agg(F.min("b").alias("m"))
+        first = _least(large)
         moved = large.join(first, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = checkpointed(moved.union(first.select("a", F.col("m").alias("b"))).distinct())
         new = _signature(now)
