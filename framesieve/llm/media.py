@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesieve.llm.common import checkpointed, ship
+from framesieve.llm.common import checkpointed, ship, small_batches, trimmed
 from framesieve.llm.nearcopies import row_id
 
 ROW = 192
@@ -116,10 +116,10 @@ def interleave(pages: DataFrame, id_col: str, html: str = "html") -> DataFrame:
     kind = pa.list_(pa.struct([("position", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "ref", "digest", "caption"))]))
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse(x.as_py()) for x in batch.column(1)], kind)], names=[id_col, "segments"])
 
-    return pages.select(pages[f"`{id_col}`"], pages[f"`{html}`"].alias("_fs_html" if html == id_col else html)).mapInArrow(run, schema)
+    return pages.select(pages[f"`{id_col}`"], pages[f"`{html}`"].alias("_fs_html" if html == id_col else html)).mapInArrow(trimmed(run), schema)
 
 
 def resolve(sequences: DataFrame, media: DataFrame, id_col: str, digest: str = "digest") -> DataFrame:
@@ -202,12 +202,10 @@ def pages(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([page(t) for t in part.column(1).to_pylist()], pa.string())], names=[id_col, "html"])
+        for batch in small_batches(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([page(t) for t in batch.column(1).to_pylist()], pa.string())], names=[id_col, "html"])
 
-    return docs.select(docs[f"`{id_col}`"], docs[f"`{text}`"].alias("_fs_text")).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("html", T.StringType())]))
+    return docs.select(docs[f"`{id_col}`"], docs[f"`{text}`"].alias("_fs_text")).mapInArrow(trimmed(run), T.StructType([docs.schema[id_col], T.StructField("html", T.StringType())]))
 
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -215,16 +213,15 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                cut = [slices(t) for t in batch.column(0).slice(i, 256).to_pylist()]
-                flat = [(x, len(parts) > 1) for parts in cut for x in parts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([hashlib.sha256(x).hexdigest() for x, _ in flat]), pa.array([to_png(x) for x, _ in flat], pa.binary()), pa.array([several for _, several in flat])],
-                    names=["digest", "media", "part"],
-                )
+        for batch in small_batches(batches, 0):
+            cut = [slices(t) for t in batch.column(0).to_pylist()]
+            flat = [(x, len(parts) > 1) for parts in cut for x in parts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hashlib.sha256(x).hexdigest() for x, _ in flat], pa.string()), pa.array([to_png(x) for x, _ in flat], pa.binary()), pa.array([several for _, several in flat], pa.bool_())],
+                names=["digest", "media", "part"],
+            )
 
-    return docs.select(docs[f"`{text}`"].alias("_fs_text")).mapInArrow(run, "digest string, media binary, part boolean")
+    return docs.select(docs[f"`{text}`"].alias("_fs_text")).mapInArrow(trimmed(run), "digest string, media binary, part boolean")
 
 
 _FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -255,7 +252,7 @@ def read_back(media: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *_columns([read_features([m.as_py()]) for m in batch.column(1)])], names=["digest", *_NAMES])
 
-    return _once(media.select("digest", "media").mapInArrow(run, f"digest string, {_FEATURES}"))
+    return _once(media.select("digest", "media").mapInArrow(trimmed(run), f"digest string, {_FEATURES}"))
 
 
 def reassemble(found: DataFrame) -> DataFrame:
