@@ -8,8 +8,8 @@
 2. The rest goes to hash buckets as packed arrays: per window 8 bytes of hash
    (the bucket holds the others) and about 2 of position.  A bucket finds the
    smallest doc_id of each hash and answers with the windows of larger ones.
-3. The answers, packed by document, meet the texts; overlapping windows merge
-   into maximal removal intervals.
+3. The answers, packed by document, meet the texts, which are sent compressed;
+   overlapping windows merge into maximal removal intervals.
 
 Two different windows count as equal if their 72 bits of hash agree: expected
 for w windows are w^2 / 2^73 such pairs (10^-6 for 10^8 windows, 0.003 for the
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesieve.llm.common import planned_bytes, ship, shuffle_partitions, trimmed
+from framesieve.llm.common import planned_bytes, ship, shuffle_partitions, small_batches, trimmed
 
 WINDOW = 50
 FLUSH = 1_200_000
@@ -225,6 +225,18 @@ def _judge(buckets: int):
 _EMPTY = pa.table({"part": pa.array([], pa.int32()), "settled": pa.array([], pa.bool_()), **{c: pa.array([], pa.binary()) for c in _COLUMNS[2:]}})
 
 
+def _squeezed(batches):
+    """(id, text) as (id, part's key, compressed text)."""
+    for batch in small_batches(batches, 2):
+        raw = [None if t is None else t.encode() for t in batch.column(2).to_pylist()]
+        body = [None if b is None else len(b).to_bytes(4, "little") + _zip.compress(b, asbytes=True) for b in raw]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(body, pa.binary())], names=batch.schema.names)
+
+
+def _loose(body: bytes | None) -> bytes:
+    return b"" if body is None else _zip.decompress(body[4:], int.from_bytes(body[:4], "little"), asbytes=True)
+
+
 def _cut(window: int, id_col: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -236,7 +248,7 @@ def _cut(window: int, id_col: str):
         kept, n_words, n_removed, spans = [], [], [], []
         ids = left.column(id_col)
         for doc, text in zip(ids.to_pylist(), left.column("_fs_text"), strict=True):
-            raw = (text.as_py() or "").encode()
+            raw = _loose(text.as_py())
             words = raw.split()
             lo, hi = (np.searchsorted(d, doc), np.searchsorted(d, doc, "right")) if doc is not None else (0, 0)
             mine = np.arange(lo, hi)
@@ -266,5 +278,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     windows = texts.mapInArrow(trimmed(_hash_windows(window, buckets)), PACKED)
     answers = windows.groupBy("part").applyInArrow(_judge(buckets), PACKED)
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType())])
-    left = texts.withColumn("part", F.pmod(F.coalesce(F.col(id_col), F.xxhash64("_fs_text")), F.lit(buckets)).cast("int"))
+    part = F.pmod(F.coalesce(F.col(id_col), F.xxhash64("_fs_text")), F.lit(buckets)).cast("int")
+    left = texts.select(id_col, part.alias("part"), "_fs_text").mapInArrow(trimmed(_squeezed), T.StructType([texts.schema[id_col], T.StructField("part", T.IntegerType()), T.StructField("_fs_text", T.BinaryType())]))
     return left.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_cut(window, id_col), schema)
