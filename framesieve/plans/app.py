@@ -13,7 +13,7 @@ import threading
 from collections.abc import Callable
 from concurrent.futures import TimeoutError as Late
 
-from framesieve.errors import CaptureError, ControlError, EngineError, ValidationError
+from framesieve.errors import CaptureError, ConfigError, ControlError, EngineError, ValidationError
 from framesieve.plans.session import Session
 from framesieve.sources import profiles
 from framesieve.sources.profiles import Resolved
@@ -38,6 +38,9 @@ class App:
     def _session(self, r: Resolved) -> Session:
         if not r.ports:
             raise CaptureError(f"profile {r.name}: channels unknown")
+        master = self.spark.sparkContext.master
+        if not self.folder and not (master == "local" or master.startswith("local[")):
+            raise ConfigError("blocks need a folder that driver and executors share (--folder)")
         folder = self.folder or tempfile.mkdtemp(prefix="framesieve-blocks-")
         return Session.for_seconds(self.spark, folder, r.output_dir, len(r.ports), r.sample_rate, r.seconds, names=[n for _, n in r.ports])
 
