@@ -213,8 +213,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` less near copies: texts whose 5-word shingles have a similarity of 0.8 or more.
 
-    Fingerprints of 64 bits can't decide that: at 0.8 they differ in some 10 bits (up
-    to 20), a radius at which vantage-point rings prune nothing.  So this rule has a
-    search of its own, see ``nearcopies``; ``near_duplicates`` keeps to its 3 bits.
+    Candidates come from SimHash fingerprints, as ``near_duplicates``' do, and are verified
+    exactly.  64 bits can't decide that: at 0.8 they differ in some 10 bits (up
+    to 20), a radius at which vantage-point rings prune nothing.  So fingerprints are
+    longer and tables of their bits take the rings' place, see ``nearcopies``;
+    ``near_duplicates`` keeps to its 3 bits.
     """
     return nearcopies.without_copies(docs, id_col, text)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framesieve.llm import langid, nearcopies
+from framesieve.llm import langid, nearcopies, simhash
 from framesieve.llm.common import checkpointed
 
 SF = "/root/testdata/sf0.001"
@@ -117,6 +117,63 @@ def test_links_beside_the_leader(spark, monkeypatch, block):
     assert seen[0].count()  # links that no leader has
 
 
+def test_wide_fingerprints():
+    """A bit is the majority of its hashes' bits; pairs of similarity 0.8 stay within FAR and share a table."""
+    rng = np.random.default_rng(6)
+    s = np.unique(rng.integers(0, 1 << 63, 600, np.uint64))
+    ones = np.sum([np.unpackbits(nearcopies.fingerprint(x[None]).view(np.uint8)) for x in s], axis=0)
+    assert (np.unpackbits(nearcopies.fingerprint(s).view(np.uint8)) == (2 * ones > len(s))).all()
+    apart = []
+    for n in (4, 9, 40, 400):
+        for _ in range(40):
+            h = rng.integers(0, 1 << 63, 2 * n, np.uint64)
+            # n of n + n/4 shingles are shared: the larger set has them all.
+            a, b, c = (nearcopies.fingerprint(np.unique(x)) for x in (h[:n], h[: n + n // 4], h[n:]))
+            away = nearcopies._away(np.stack((a, b, c))[:, : nearcopies.CHECKED], np.stack((a, b, c))[:, : nearcopies.CHECKED])
+            assert away[0, 1] <= nearcopies.FAR
+            apart.append(away[0, 2] > nearcopies.FAR)
+            for _, bits, tables in nearcopies.TABLES:
+                x, y = nearcopies.buckets(a, bits, tables), nearcopies.buckets(b, bits, tables)
+                assert len(x) == tables and (x >> np.uint64(bits) == np.arange(tables)).all() and (x == y).any()
+    assert np.mean(apart) > 0.95
+    assert [nearcopies.tables_for(n) for n in (0, 1 << 18, (1 << 18) + 1, 1 << 40)] == [(10, 64), (10, 64), (13, 104), (20, 340)]
+
+
+def test_families_of_a_bucket():
+    """Peeling a large bucket joins what all pairs of fingerprints join."""
+    rng = np.random.default_rng(7)
+    starts = rng.integers(0, 1 << 63, (12, nearcopies.CHECKED), np.uint64)
+    f = starts[rng.integers(0, 12, 300)]
+    for _ in range(20):  # chains: up to 20 bits from the start
+        f[np.arange(300), rng.integers(0, nearcopies.CHECKED, 300)] ^= np.uint64(1) << rng.integers(0, 63, 300, np.uint64)
+    f = np.concatenate((f, rng.integers(0, 1 << 63, (100, nearcopies.CHECKED), np.uint64)))
+    whole, peeled = nearcopies.family_of(f), nearcopies.family_of(f, small=5, step=7)
+    sets = lambda x: {tuple(np.flatnonzero(x == k)) for k in set(x.tolist())}
+    assert sets(whole) == sets(peeled) and len(sets(whole)) == 112
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 20])
+def test_near_copies_come_from_simhash(spark, monkeypatch, hot):
+    """All links come from the fingerprints' tables: without them only equal sets go; hot buckets as pairs of blocks give the same."""
+    monkeypatch.setattr(nearcopies, "HOT", hot)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for family in range(5):
+        base = list(rng.choice(words, 150))
+        for _ in range(40):
+            text = list(base)
+            for at in rng.integers(0, 150, int(rng.integers(0, 5))):
+                text[at] = str(rng.choice(words))
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in simhash.without_near_copies(docs).collect())
+    assert got == sorted(survivors(rows))
+    if hot > 20:
+        monkeypatch.setattr(nearcopies, "fingerprint", lambda s: rng.integers(0, 1 << 63, 16, np.uint64))
+        assert simhash.without_near_copies(docs).count() == len({frozenset(shingles(t)) for _, t in rows}) > len(got)
+
+
 def test_close_sets():
     rng = np.random.default_rng(4)
     base = rng.choice(1 << 40, 30_000, replace=False).astype(np.int64)
