@@ -182,12 +182,18 @@ def predict(docs: DataFrame, model: Classifier, text: str = "text", known: bool
     held = spark.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("known", T.DoubleType())] * known])
 
+    at = docs.columns.index(text)
+
+    def with_text(batches):
+        for batch in batches:  # the text is in the row: sent once only
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field(at)], names=["row", "text"])
+
     def run(batches):
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(with_text(batches), 1):
             texts = batch.column(1).to_pylist()
             labels, scores = held.value.predict(texts)
             more = [pa.array([held.value.known(t, g) for t, g in zip(texts, labels, strict=True)], pa.float64())] * known
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores), *more], names=schema.names)
 
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{text}`"].alias("text"))
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     return packed.mapInArrow(trimmed(run), schema)

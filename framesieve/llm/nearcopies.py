@@ -58,11 +58,12 @@ BROADCAST_ROWS = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 63, WORDS, np.uint64)
 _SAMPLE = 16
+_CHUNK = 256
 #: Shingles that a block of a shard holds on average, and columns that a comparison takes at a time.
 BLOCK = 1 << 20
 #: Rows of a block on average: a comparison holds numbers for each pair of rows of two blocks.
 BLOCK_ROWS = 768
-_COLUMNS = 4096
+_COLUMNS = 1024
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -339,9 +340,15 @@ def close(sets: list[np.ndarray], home: np.ndarray, similarity: float) -> tuple[
         own, inverse = np.unique(row[lo:hi], return_inverse=True)
         x = np.zeros((len(own), _COLUMNS), np.float32)
         x[inverse, column[lo:hi] - c] = 1
-        shared[np.ix_(own, own)] += x @ x.T
-    good = shared >= similarity * (n[:, None] + n[None, :] - shared) - 1e-6
-    a, b = np.nonzero(np.triu(good & (home[:, None] | home[None, :]), 1))
+        for i in range(0, len(own), _CHUNK):
+            shared[np.ix_(own[i : i + _CHUNK], own)] += x[i : i + _CHUNK] @ x.T
+    found = []
+    for i in range(0, len(sets), _CHUNK):
+        some = shared[i : i + _CHUNK]
+        good = some * (1 + similarity) >= similarity * (n[i : i + _CHUNK, None] + n[None, :]) - 1e-6
+        a, b = np.nonzero(np.triu(good & (home[i : i + _CHUNK, None] | home[None, :]), i + 1))
+        found.append((a + i, b))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     label = forest(a, b, len(sets))
     moved = np.flatnonzero(label != np.arange(len(sets)))
     return moved, label[moved]

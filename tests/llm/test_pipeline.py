@@ -1,5 +1,6 @@
 """The pipeline against its stages' brute-force versions, on whole small tables."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -174,6 +175,24 @@ def test_near_copies_come_from_simhash(spark, monkeypatch, hot):
         assert simhash.without_near_copies(docs).count() == len({frozenset(shingles(t)) for _, t in rows}) > len(got)
 
 
+def test_texts_are_sent_once(spark):
+    """Language ID's worker gets each text in its row alone, not beside it again."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = langid.predict(docs, langid.fit([("a", "some text"), ("b", "weiterer satz")]))._jdf.queryExecution().optimizedPlan().children().head()
+    assert [f.name() for f in plan.schema().fields()] == ["row"]
+
+
+def test_close_memory():
+    """A comparison holds about one number for each pair of rows."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2000, 60)) for _ in range(1600)]
+    tracemalloc.start()
+    nearcopies.close(sets, np.ones(len(sets), bool), 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14 * len(sets) ** 2
+
+
 def test_close_sets():
     rng = np.random.default_rng(4)
     base = rng.choice(1 << 40, 30_000, replace=False).astype(np.int64)
