@@ -35,6 +35,8 @@ WINDOW = 50
 FLUSH = 1_200_000
 BUCKET = 16 << 20
 WORDS = 150_000
+#: Powers of the bases at first; they grow with the longest document.
+POWERS = 4096
 BASE = 0x9E3779B97F4A7C15 | 1
 SECOND = 0xC2B2AE3D27D4EB4F | 1
 
@@ -120,31 +122,45 @@ def window_hashes(words: np.ndarray, window: int, powers: tuple[np.ndarray, np.n
 
 
 def _flush(ids: list[int], own: list[int], hashes: list[np.ndarray], seconds: list[np.ndarray], buckets: int):
+    """Rows for the windows of a flush; empties the lists of hashes.  Windows are told by their positions in the flush, what else is known of them is looked up where it is used."""
     lengths = np.fromiter(map(len, hashes), np.int64, len(hashes))
     if not lengths.sum():
         return
     h, second = np.concatenate(hashes), np.concatenate(seconds)
-    docs = np.repeat(np.array(ids, np.int64), lengths)
-    signs = np.repeat(np.array(own, np.uint32), lengths)
-    at = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    order = np.argsort(h, kind="stable")
-    sorted_h, sorted_second = h[order], second[order]
-    first = np.flatnonzero(np.concatenate(([True], (sorted_h[1:] != sorted_h[:-1]) | (sorted_second[1:] != sorted_second[:-1]))))
-    least = np.minimum.reduceat(docs[order], first)
-    settled = np.zeros(len(h), bool)
-    settled[order] = docs[order] > np.repeat(least, np.diff(np.append(first, len(h))))
+    hashes.clear()
+    seconds.clear()
+    docs, signs, starts = np.array(ids, np.int64), np.array(own, np.uint32), np.cumsum(lengths) - lengths
+    row = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
+    settled = _settled(h, second, docs, row)
     if settled.any():
-        d, g, a = docs[settled], signs[settled], at[settled]
-        start = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (g[1:] != g[:-1]) | (a[1:] != a[:-1] + 1))))
-        yield from _answers(d[start], g[start], a[start], np.diff(np.append(start, len(d))), buckets)
-    keep = ~settled
-    h, second, docs, signs, at = h[keep], second[keep], docs[keep], signs[keep], at[keep]
-    bucket = (h % np.uint64(buckets)).astype(np.uint32)
-    order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-    bucket, docs, signs, at, rest = bucket[order], docs[order], signs[order], at[order], ((h // np.uint64(buckets)) | second.astype(np.uint64) << np.uint64(56))[order]
-    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(h) else [0]
+        i = np.flatnonzero(settled)
+        r, at = row[i], i - starts[row[i]]
+        start = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1))))
+        yield from _answers(docs[r[start]], signs[r[start]], at[start], np.diff(np.append(start, len(r))), buckets)
+        del i, r, at, start
+    keep = np.flatnonzero(~settled)
+    bucket = (h[keep] % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    keep, bucket = keep[order], bucket[order]
+    del order
+    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keep) else [0]
     for a, b in zip(edge[:-1], edge[1:], strict=True):
-        yield int(bucket[a]), False, *_pack(docs[a:b], signs[a:b], at[a:b]), rest[a:b].astype("<u8").tobytes()
+        i = keep[a:b]
+        r, rest = row[i], (h[i] // np.uint64(buckets)) | second[i].astype(np.uint64) << np.uint64(56)
+        yield int(bucket[a]), False, *_pack(docs[r], signs[r], i - starts[r]), rest.astype("<u8").tobytes()
+
+
+def _settled(h: np.ndarray, second: np.ndarray, docs: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether the flush has a window's hash in a document of smaller id."""
+    order = np.argsort(h, kind="stable")
+    x, y = h[order], second[order]
+    first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+    del x, y
+    d = docs[row[order]]
+    least = np.minimum.reduceat(d, first)
+    settled = np.zeros(len(h), bool)
+    settled[order] = d > np.repeat(least, np.diff(np.append(first, len(h))))
+    return settled
 
 
 def _answers(docs: np.ndarray, signs: np.ndarray, at: np.ndarray, counts: np.ndarray, parts: int):
@@ -167,7 +183,7 @@ def _rows(rows) -> pa.RecordBatch:
 
 def _hash_windows(window: int, buckets: int):
     def run(batches):
-        powers, other, known = _powers(FLUSH), _powers(FLUSH, SECOND), WordHashes()
+        powers, other, known = _powers(POWERS), _powers(POWERS, SECOND), WordHashes()
         ids, signs, hashes, seconds, held = [], [], [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -177,7 +193,8 @@ def _hash_windows(window: int, buckets: int):
                 raw = text.encode()
                 words = known.of(raw.split())
                 if len(words) > len(powers[0]):
-                    powers, other = _powers(len(words)), _powers(len(words), SECOND)
+                    n = max(len(words), min(2 * len(powers[0]), FLUSH))
+                    powers, other = _powers(n), _powers(n, SECOND)
                 found = window_hashes(words, window, powers)
                 if not len(found):
                     continue

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,28 @@ def test_substrings(spark, docs, monkeypatch, flush):
         assert key(substring.remove_repeats(docs)) == cut([(r.doc_id, r.text) for r in docs.collect()], 50)
 
 
+def test_substrings_memory():
+    """A worker's memory goes by its texts, and a flush takes few bytes a window."""
+    import tracemalloc
+
+    texts = pa.record_batch({"doc_id": pa.array(range(20), pa.int64()), "text": [" ".join(f"{d} {i}" for i in range(100)) for d in range(20)]})
+    r = np.random.default_rng(1)
+    own = [r.integers(0, 1 << 60, 3000).astype(np.uint64) for _ in range(100)]
+    hashes, seconds = [*own, *(h.copy() for h in own)], [np.zeros(3000, np.uint8) for _ in range(200)]
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in substring._hash_windows(50, 7)(iter([texts]))) == 7
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        rows = list(substring._flush(list(range(200)), list(range(200)), hashes, seconds, 7))
+        assert tracemalloc.get_traced_memory()[1] - before < 65 * 600_000
+    finally:
+        tracemalloc.stop()
+    assert sum(settled for _, settled, *_ in rows) == 7
+    assert sum(len(rest) // 8 for _, settled, *_, rest in rows if not settled) == 300_000
+
+
 # --- 4: SimHash ---------------------------------------------------------------------------------
 
 
